@@ -53,17 +53,19 @@ def js_length(text: Column) -> Column:
 
 def js_prefix(text: Column, units: int) -> Column:
     """The first ``units`` UTF-16 units; half of a cut surrogate pair becomes U+FFFD."""
-    head = F.substring(text, 1, units)
 
-    def cut(encoded: Column) -> Column:
-        last = F.hex(F.substring(encoded, 2 * units - 1, 1))
-        half = last.between("D8", "DB")
+    def cut(head: Column) -> Column:
+        encoded = F.encode(head, "UTF-16BE")
+        half = F.hex(F.substring(encoded, 2 * units - 1, 1)).between("D8", "DB")
         whole = F.decode(F.substring(encoded, 1, 2 * units), "UTF-16BE")
         short = F.decode(F.substring(encoded, 1, 2 * units - 2), "UTF-16BE")
-        return F.when(half, F.concat(short, F.lit("\ufffd"))).otherwise(whole)
+        return (
+            F.when(_is_ascii(head) | (js_length(head) <= units), head)
+            .when(half, F.concat(short, F.lit("\ufffd")))
+            .otherwise(whole)
+        )
 
-    plain = js_length(head) <= units
-    return F.when(plain, head).otherwise(let(F.encode(head, "UTF-16BE"), cut))
+    return let(F.substring(text, 1, units), cut)
 
 
 def keywords_count(keywords: Column) -> Column:

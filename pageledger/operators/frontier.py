@@ -51,7 +51,7 @@ def _in_blocks(level: DataFrame, depth: int, limit: int) -> DataFrame:
     What lies beyond the limit inside its block lies beyond it in the site too and is not kept.
     """
     blocked = level.withColumn("block", F.expr(f"parent_seq div {_PARENTS_PER_BLOCK}"))
-    inside = W.partitionBy("site", "block").orderBy("parent_seq", "pos")
+    inside = W.partitionBy("site", "block").orderBy("parent_seq", "pos", "url")
     local = blocked.withColumn("local", F.row_number().over(inside)).filter(F.col("local") <= limit)
     return local.select("site", "url", F.lit(depth).alias("depth"), "block", F.col("local").cast("bigint").alias("local"))
 
