@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageledger.functions.entities import decode_entities, decode_sql
-from pageledger.functions.sqltext import bind, fold, map_array, quote
+from pageledger.functions.sqltext import apply, bind, fold, lower_sql, map_array, quote
 from pageledger.functions.text import js_collapse, js_trim, let
 
 _COMMENT = r"!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
@@ -76,7 +76,7 @@ def _parse_tag() -> str:
     unquoted = "CASE WHEN left(v, 1) IN ('\"', '\\'') THEN substring(v, 2, length(v) - 2) ELSE v END"
     value = bind(unquoted, "plain", decode_sql("plain", in_attribute=True))
     named = (
-        f"named_struct('names', transform(regexp_extract_all(head, {pattern}, 1), n -> lower(n)),"
+        f"named_struct('names', transform(regexp_extract_all(head, {pattern}, 1), n -> {lower_sql('n')}),"
         f" 'vals', transform(regexp_extract_all(head, {pattern}, 2), v -> {value}))"
     )
     rest = "greatest(size(cut.names) - 1, 0)"
@@ -123,36 +123,35 @@ def h1_text(html: Column) -> Column:
 
 
 def h1_count(tags: Column) -> Column:
-    return F.size(F.filter(tags, lambda tag: tag["name"] == "h1"))
+    return apply("t", "size(filter(t.tags, tag -> tag.name = 'h1'))", tags=tags)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    return F.try_element_at(tag["attrs"], F.lit(name))
+def _value(tag: str, name: str) -> str:
+    return f"try_element_at({tag}.attrs, {quote(name)})"
 
 
-def _first_value(tags: Column, matches, name: str) -> Column:
-    return F.coalesce(attribute(F.get(F.filter(tags, matches), F.lit(0)), name), F.lit(""))
+def _first_value(tags: Column, condition: str, name: str) -> Column:
+    """Attribute ``name`` of the first tag that meets the SQL condition; '' when there is no such tag or value."""
+    return apply("t", f"coalesce({_value(f'get(filter(t.tags, tag -> {condition}), 0)', name)}, '')", tags=tags)
 
 
 def meta_name(tags: Column, value: str) -> Column:
     """Content of the first ``meta`` whose name is exactly ``value``."""
-    return _first_value(tags, lambda tag: (tag["name"] == "meta") & (attribute(tag, "name") == value), "content")
+    return _first_value(tags, f"tag.name = 'meta' AND {_value('tag', 'name')} = {quote(value)}", "content")
 
 
 def meta_property(tags: Column, value: str) -> Column:
-    return _first_value(tags, lambda tag: (tag["name"] == "meta") & (attribute(tag, "property") == value), "content")
+    return _first_value(tags, f"tag.name = 'meta' AND {_value('tag', 'property')} = {quote(value)}", "content")
 
 
 def canonical(tags: Column) -> Column:
-    return _first_value(
-        tags, lambda tag: (tag["name"] == "link") & (F.lower(attribute(tag, "rel")) == "canonical"), "href"
-    )
+    return _first_value(tags, f"tag.name = 'link' AND lower({_value('tag', 'rel')}) = 'canonical'", "href")
 
 
 def hrefs(tags: Column) -> Column:
     """Non-empty ``href`` values of the anchors, in page order."""
-    anchors = F.filter(tags, lambda tag: (tag["name"] == "a") & (F.coalesce(attribute(tag, "href"), F.lit("")) != ""))
-    return F.transform(anchors, lambda tag: attribute(tag, "href"))
+    href = _value("tag", "href")
+    return apply("t", f"transform(filter(t.tags, tag -> tag.name = 'a' AND {href} <> ''), tag -> {href})", tags=tags)
 
 
 def visible_text(html: Column) -> Column:

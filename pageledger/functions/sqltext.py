@@ -25,6 +25,11 @@ def fold(text_cases: dict[str, str], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in text_cases.items()) + f" ELSE {otherwise} END"
 
 
+def lower_sql(name: str) -> str:
+    """SQL for lower case that leaves the usual lower-case names alone; full case mapping is slow."""
+    return f"CASE WHEN {name} RLIKE '[^a-z0-9.:_-]' THEN lower({name}) ELSE {name} END"
+
+
 def map_array(values: Column, function: str) -> Column:
     """Apply a SQL lambda, given as text, to every element of an array."""
     return F.call_function("transform", values, F.expr(function))

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
-from pageledger.functions.sqltext import apply, bind, fold, quote
+from pageledger.functions.sqltext import apply, bind, fold, lower_sql, quote
 
 PARSED_TYPE = "struct<scheme:string,userinfo:string,host:string,port:string,path:string,query:string>"
 
@@ -69,11 +69,12 @@ def _resolve_sql() -> str:
     """SQL over ``u.href`` and ``u.base``: each stage sees the fields of the one before."""
     special = "(" + ", ".join(f"'{scheme}'" for scheme in _SPECIAL_PORTS) + ")"
     authority = quote(_AUTHORITY)
-    clean = f"substring_index(btrim(translate(u.href, '\\t\\n\\r', ''), {quote(_CONTROL_OR_BLANK)}), '#', 1)"
+    stripped = f"btrim(translate(u.href, '\\t\\n\\r', ''), {quote(_CONTROL_OR_BLANK)})"
+    clean = f"substring_index(CASE WHEN u.href RLIKE '[\\\\x00-\\\\x20]' THEN {stripped} ELSE u.href END, '#', 1)"
 
     # cut off the scheme
-    scan = """named_struct(
-        'scheme', lower(head),
+    scan = f"""named_struct(
+        'scheme', {lower_sql('head')},
         'rest', CASE WHEN head = '' THEN clean ELSE substring(clean, length(head) + 2) END)"""
     scan = bind(clean, "clean", bind(f"regexp_extract(clean, {quote(_SCHEME)}, 1)", "head", scan))
 
@@ -128,7 +129,7 @@ def _resolve_sql() -> str:
 
     # decode and lower-case the host, drop the default port, encode path and query
     decoded = fold({"contains(s.host, '%')": "try_url_decode(replace(s.host, '+', '%2B'))"}, "s.host")
-    host = fold({"s.kind = 'foreign'": "s.host"}, f"lower({decoded})")
+    host = fold({"s.kind = 'foreign'": "s.host"}, bind(decoded, "place", lower_sql("place")))
     defaults = " OR ".join(f"(s.scheme = '{scheme}' AND digits = '{port}')" for scheme, port in _SPECIAL_PORTS.items())
     port = fold({"s.port = ''": "''", "digits = ''": "'0'", defaults: "''"}, "digits")
     rooted = "CASE WHEN startswith(s.path, '/') OR (s.kind = 'foreign' AND s.path = '') THEN s.path ELSE concat('/', s.path) END"
@@ -145,7 +146,7 @@ def _resolve_sql() -> str:
         'path', {path},
         'query', {_percent_encode('s.query', _QUERY_SAFE)})"""
 
-    host_ok = f"""s.place_ok AND s.host <> '' AND length(s.port) <= 5 AND coalesce(try_cast(s.port AS INT), 0) <= 65535
+    host_ok = f"""s.place_ok AND s.host <> '' AND (s.port = '' OR length(s.port) <= 5 AND CAST(s.port AS INT) <= 65535)
         AND (startswith(s.host, '[') OR NOT s.host RLIKE {quote(_BAD_HOST)})"""
 
     def record(userinfo: str, host: str, port: str) -> str:
