@@ -15,9 +15,18 @@ def quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def bind(value: str, name: str, body: str) -> str:
-    """SQL for: evaluate ``value`` once, call it ``name`` and use it in ``body``."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+def bind(value: str, name: str, body: str, kind: str = "STRING") -> str:
+    """SQL for: evaluate ``value`` once, call it ``name`` and use it in ``body``, a result of type ``kind``.
+
+    An aggregate over one element.  Unlike indexing into a transformed array it never asks the nested lambdas for
+    their type again, which would be done row by row.
+    """
+    return f"aggregate(array({value}), CAST(NULL AS {kind}), (_, {name}) -> {body})"
+
+
+def only(array: str, kind: str = "STRING") -> str:
+    """SQL for the element of a one-element array."""
+    return f"aggregate({array}, CAST(NULL AS {kind}), (_, one) -> one)"
 
 
 def fold(text_cases: dict[str, str], otherwise: str) -> str:
@@ -35,7 +44,8 @@ def map_array(values: Column, function: str) -> Column:
     return F.call_function("transform", values, F.expr(function))
 
 
-def apply(name: str, body: str, **inputs: Column) -> Column:
-    """Evaluate the SQL text ``body``, which sees the inputs as fields of ``name``."""
+def apply(name: str, body: str, kind: str = "STRING", **inputs: Column) -> Column:
+    """Evaluate the SQL text ``body`` of type ``kind``, which sees the inputs as fields of ``name``."""
     packed = F.struct(*[column.alias(field) for field, column in inputs.items()])
-    return F.get(map_array(F.array(packed), f"{name} -> {body}"), F.lit(0))
+    nothing = F.lit(None).cast(kind)
+    return F.call_function("aggregate", F.array(packed), nothing, F.expr(f"(_, {name}) -> {body}"))

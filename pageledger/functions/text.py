@@ -26,9 +26,9 @@ _WIDE_RUN = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, however often ``body`` mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column], kind: str = "string") -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, a result of type ``kind``, however often it is mentioned."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, bound: body(bound))
 
 
 def js_trim(text: Column) -> Column:
@@ -94,7 +94,7 @@ def js_number(cell: Column) -> Column:
             number = number.when(text.rlike(pattern), F.conv(F.substring(text, 3, 64), radix, 10).try_cast("double"))
         return F.coalesce(number, F.lit(0.0))
 
-    return let(js_trim(cell), convert)
+    return let(js_trim(cell), convert, "double")
 
 
 def js_number_text(number: Column) -> Column:

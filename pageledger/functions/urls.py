@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
-from pageledger.functions.sqltext import apply, bind, fold, lower_sql, quote
+from pageledger.functions.sqltext import apply, bind, fold, lower_sql, only, quote
 
 PARSED_TYPE = "struct<scheme:string,userinfo:string,host:string,port:string,path:string,query:string>"
 
@@ -76,14 +76,15 @@ def _resolve_sql() -> str:
     scan = f"""named_struct(
         'scheme', {lower_sql('head')},
         'rest', CASE WHEN head = '' THEN clean ELSE substring(clean, length(head) + 2) END)"""
-    scan = bind(clean, "clean", bind(f"regexp_extract(clean, {quote(_SCHEME)}, 1)", "head", scan))
+    stage = "STRUCT<scheme:STRING,rest:STRING>"
+    scan = bind(clean, "clean", bind(f"regexp_extract(clean, {quote(_SCHEME)}, 1)", "head", scan, stage), stage)
 
     # separate the query; backslashes count as slashes before it unless the scheme has no host
     divide = f"""named_struct(
         'scheme', s.scheme,
         'before', CASE WHEN s.scheme = '' OR s.scheme IN {special} THEN translate(path, '\\\\', '/') ELSE path END,
         'query', CASE WHEN contains(s.rest, '?') THEN substring(s.rest, length(path) + 2) END)"""
-    divide = f"s -> {bind("substring_index(s.rest, '?', 1)", 'path', divide)}"
+    divide = f"s -> {bind("substring_index(s.rest, '?', 1)", 'path', divide, 'STRUCT<scheme:STRING,before:STRING,query:STRING>')}"
 
     kind = fold(
         {
@@ -102,7 +103,7 @@ def _resolve_sql() -> str:
         'scheme', CASE WHEN s.scheme = '' THEN u.base.scheme ELSE s.scheme END,
         'body', {body},
         'query', s.query)"""
-    classify = f"s -> {bind(kind, 'kind', classify)}"
+    classify = f"s -> {bind(kind, 'kind', classify, 'STRUCT<kind:STRING,scheme:STRING,body:STRING,query:STRING>')}"
 
     # authority and path, still raw
     path = fold(
@@ -123,9 +124,12 @@ def _resolve_sql() -> str:
         'port', regexp_extract(place, {authority}, 2),
         'path', {path},
         'query', CASE WHEN s.kind = 'relative' AND s.body = '' THEN coalesce(s.query, u.base.query) ELSE s.query END)"""
-    locate = bind("substring_index(authority, '@', -1)", "place", locate)
+    stage = (
+        "STRUCT<kind:STRING,scheme:STRING,userinfo:STRING,place_ok:BOOLEAN,host:STRING,port:STRING,path:STRING,query:STRING>"
+    )
+    locate = bind("substring_index(authority, '@', -1)", "place", locate, stage)
     authority_of = "CASE WHEN s.kind IN ('host', 'foreign') THEN substring_index(s.body, '/', 1) ELSE '' END"
-    locate = f"s -> {bind(authority_of, 'authority', locate)}"
+    locate = f"s -> {bind(authority_of, 'authority', locate, stage)}"
 
     # decode and lower-case the host, drop the default port, encode path and query
     decoded = fold({"contains(s.host, '%')": "try_url_decode(replace(s.host, '+', '%2B'))"}, "s.host")
@@ -166,14 +170,14 @@ def _resolve_sql() -> str:
     stages = f"array({scan})"
     for stage in (divide, classify, locate, tidy, check):
         stages = f"transform({stages}, {stage})"
-    return f"get({stages}, 0)"
+    return only(stages, PARSED_TYPE)
 
 
 def resolve(href: Column, base: Column | None = None) -> Column:
     """Parse ``href``, relative to the parsed URL ``base`` when one is given.  The fragment is dropped."""
     if base is None:
         base = F.lit(None).cast(PARSED_TYPE)
-    return apply("u", _resolve_sql(), href=href, base=base)
+    return apply("u", _resolve_sql(), PARSED_TYPE, href=href, base=base)
 
 
 @cache
@@ -232,31 +236,48 @@ def pathname(url: Column) -> Column:
 
 
 # Links in plain form, which need no resolving: from the root of the host, and absolute with a bare host.
-_PLAIN_PATH = r"(?:/[!\x24&(-\-0-;=@-Z_a-z~\x{80}-\x{10FFFF}][!\x24-&(-.0-;=@-Z_a-z~\x{80}-\x{10FFFF}]*+)*+/?"
+_PLAIN_SEGMENT = r"[!\x24&(-\-0-;=@-Z_a-z~\x{80}-\x{10FFFF}][!\x24-&(-.0-;=@-Z_a-z~\x{80}-\x{10FFFF}]*+"
+_PLAIN_PATH = f"(?:/{_PLAIN_SEGMENT})*+/?"
 _PLAIN_QUERY = r"(?:\?[!\x24-&\x28-;=?-~]*+)?"
 _ROOTED_LINK = f"^(?=/){_PLAIN_PATH}{_PLAIN_QUERY}$"
 _ABSOLUTE_LINK = rf"^https?://([a-z0-9][a-z0-9.-]*+(?<=\.[a-z]{{2,9}}))(?=[/?]|$){_PLAIN_PATH}$"
 _PLAIN_ORIGIN = _PLAIN_HOST.replace("https?://(", "(https?://")
 
 
+_NESTED_LINK = rf"^(?![^/?]*:){_PLAIN_SEGMENT}{_PLAIN_PATH}{_PLAIN_QUERY}$"
+_PLAIN_PAGE = rf"{_PLAIN_HOST.removesuffix('(?=[/?#]|$)')}{_PLAIN_PATH}(?:[?#].*)?$"
+_DIRECTORY = r"^(https?://[^/]+/(?:.*/)?)"
+
+
 @cache
 def _page_links_sql() -> str:
     """Plain links take a short way; the rest is resolved in full, and only then is the page's own URL parsed."""
     encoded = _percent_encode("h", _LINK_SAFE)
-    rooted = f"named_struct('host', substring_index(origin, '/', -1), 'url', concat(origin, {encoded}))"
+    own_host = "substring_index(origin, '/', -1)"
+    rooted = f"named_struct('host', {own_host}, 'url', concat(origin, {encoded}))"
+    nested = f"named_struct('host', {own_host}, 'url', concat(directory, {encoded}))"
     absolute = f"named_struct('host', regexp_extract(h, {quote(_ABSOLUTE_LINK)}, 1), 'url', {encoded})"
-    resolved = bind("named_struct('href', h, 'base', page)", "u", _resolve_sql())
-    general = bind(resolved, "p", f"named_struct('host', p.host, 'url', {_href_sql('p')})")
-    is_rooted, is_absolute = f"h RLIKE {quote(_ROOTED_LINK)}", f"h RLIKE {quote(_ABSOLUTE_LINK)}"
-    one = fold({f"origin <> '' AND {is_rooted}": rooted, is_absolute: absolute}, general)
+    resolved = bind("named_struct('href', h, 'base', page)", "u", _resolve_sql(), PARSED_TYPE)
+    general = bind(resolved, "p", f"named_struct('host', p.host, 'url', {_href_sql('p')})", "STRUCT<host:STRING,url:STRING>")
+    conditions = {
+        f"origin <> '' AND h RLIKE {quote(_ROOTED_LINK)}": rooted,
+        f"h RLIKE {quote(_ABSOLUTE_LINK)}": absolute,
+        f"directory <> '' AND h RLIKE {quote(_NESTED_LINK)}": nested,
+    }
+    one = fold(conditions, general)
     kept = f"filter(transform(w.hrefs, h -> {one}), link -> link.host <=> w.host AND NOT contains(link.url, 'mailto:'))"
     links = f"transform({kept}, link -> {bind('link.url', 'text', _DROP_SLASH)})"
-    parsed = bind("named_struct('href', w.url, 'base', CAST(NULL AS " + PARSED_TYPE + "))", "u", _resolve_sql())
-    needs_page = f"origin = '' OR exists(w.hrefs, h -> NOT ({is_rooted} OR {is_absolute}))"
-    page = f"CASE WHEN {needs_page} THEN {parsed} END"
-    return bind(f"regexp_extract(w.url, {quote(_PLAIN_ORIGIN)}, 1)", "origin", bind(page, "page", links))
+    parsed = bind("named_struct('href', w.url, 'base', CAST(NULL AS " + PARSED_TYPE + "))", "u", _resolve_sql(), PARSED_TYPE)
+    page = f"CASE WHEN exists(w.hrefs, h -> NOT ({' OR '.join(f'({c})' for c in conditions)})) THEN {parsed} END"
+    path = "substring_index(substring_index(w.url, '#', 1), '?', 1)"
+    slashed = f"CASE WHEN {path} = origin THEN concat(origin, '/') ELSE {path} END"
+    directory = _percent_encode("folder", _LINK_SAFE)
+    directory = bind(f"regexp_extract({slashed}, {quote(_DIRECTORY)}, 1)", "folder", directory)
+    directory = f"CASE WHEN w.url RLIKE {quote(_PLAIN_PAGE)} THEN {directory} ELSE '' END"
+    with_directory = bind(directory, "directory", bind(page, "page", links, "ARRAY<STRING>"), "ARRAY<STRING>")
+    return bind(f"regexp_extract(w.url, {quote(_PLAIN_ORIGIN)}, 1)", "origin", with_directory, "ARRAY<STRING>")
 
 
 def page_links(page_hrefs: Column, page_url: Column, host: Column) -> Column:
     """Same-host links of a page, normalised, in page order; duplicates and self-links stay."""
-    return apply("w", _page_links_sql(), hrefs=page_hrefs, url=page_url, host=host)
+    return apply("w", _page_links_sql(), "array<string>", hrefs=page_hrefs, url=page_url, host=host)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import urls
 from pageledger.functions.text import js_trim, let
+from pageledger.session import filter_in_place
 
 _log = logging.getLogger(__name__)
 _FIELDS = ("title", "description", "keywords")
@@ -154,7 +155,8 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
         records.withColumn("_path", path)
         .withColumn("error", error)
         .withColumn("_rows", F.when(F.col("error").isNotNull(), failed.cast(kind)).otherwise(properties))
-        .select("site", "url", "_path", "error", F.inline("_rows"))
+        .select("site", "url", "_path", "error", F.inline_outer("_rows"))
+        .filter(F.col("property").isNotNull() | F.col("error").isNotNull())
         .select(
             "site",
             "url",
@@ -167,7 +169,7 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
     )
 
 
-def has_changes(records: DataFrame, target: Target) -> Column:
+def has_changes(target: Target) -> Column:
     """True for a page with at least one property to write."""
     wanted = [name for name in wanted_fields(target) if name in _FIELDS]
     condition = F.lit(False)
@@ -181,7 +183,7 @@ def replicate_rows(records: DataFrame, target: Target) -> DataFrame:
     path = target_path(F.col("url"), target.site_path_prefix)
     active = bool(target.replicate_after_update and target.author_url)
     return (
-        records.filter(F.lit(active) & has_changes(records, target))
+        filter_in_place(records, F.lit(active) & has_changes(target))
         .withColumn("path", path)
         .filter(F.col("path").isNotNull())
         .select(
@@ -213,13 +215,13 @@ def wanted_tags(records: DataFrame, target: Target) -> DataFrame:
     """Every tag the pages ask for: ``(namespace, node, label, url, pos)``, and ``seq`` where the records have it."""
     place = [name for name in ("seq", "url") if name in records.columns]
     uses_tags = "keywords" in wanted_fields(target) and target.properties["keywords"] == fixed.TAG_PROPERTY
-    asking = records.filter(F.lit(uses_tags) & _given("suggested_keywords"))
+    asking = filter_in_place(records, F.lit(uses_tags) & _given("suggested_keywords"))
     exploded = asking.select(
         *place,
         tag_namespace(F.col("url"), target).alias("namespace"),
-        F.posexplode(split_tags(F.col("suggested_keywords"))).alias("pos", "label"),
+        F.posexplode_outer(split_tags(F.col("suggested_keywords"))).alias("pos", "label"),
     )
-    return exploded.filter(F.col("namespace").isNotNull()).select(
+    return exploded.filter(F.col("namespace").isNotNull() & F.col("label").isNotNull()).select(
         F.regexp_replace("namespace", "/$", "").alias("namespace"), tag_node(F.col("label")).alias("node"), "label", *place, "pos"
     )
 

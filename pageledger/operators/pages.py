@@ -24,21 +24,21 @@ def _status_error(status: Column) -> Column:
 
 
 def _content_columns() -> dict[str, Column]:
-    tags = F.col("_tags")
+    tags, metas = F.col("_tags"), F.col("_tags.metas")
     return {
         "title": html.title_from_tokens(F.col("_tokens")),
-        "description": html.meta_name(tags, "description"),
-        "keywords": html.meta_name(tags, "keywords"),
-        "h1_count": html.h1_count(tags),
-        "canonical_url": html.canonical(tags),
-        "og_title": html.meta_property(tags, "og:title"),
-        "og_description": html.meta_property(tags, "og:description"),
-        "og_image": html.meta_property(tags, "og:image"),
-        "twitter_card": html.meta_name(tags, "twitter:card"),
-        "twitter_title": html.meta_name(tags, "twitter:title"),
-        "twitter_description": html.meta_name(tags, "twitter:description"),
-        "twitter_image": html.meta_name(tags, "twitter:image"),
-        "robots": html.meta_name(tags, "robots"),
+        "description": html.meta_name(metas, "description"),
+        "keywords": html.meta_name(metas, "keywords"),
+        "h1_count": html.h1_count(F.col("_tokens")),
+        "canonical_url": tags["canonical"],
+        "og_title": html.meta_property(metas, "og:title"),
+        "og_description": html.meta_property(metas, "og:description"),
+        "og_image": html.meta_property(metas, "og:image"),
+        "twitter_card": html.meta_name(metas, "twitter:card"),
+        "twitter_title": html.meta_name(metas, "twitter:title"),
+        "twitter_description": html.meta_name(metas, "twitter:description"),
+        "twitter_image": html.meta_name(metas, "twitter:image"),
+        "robots": html.meta_name(metas, "robots"),
     }
 
 
@@ -74,23 +74,25 @@ def extract_content(pages: DataFrame) -> DataFrame:
         F.coalesce(html.h1_text(F.col("_html")), F.lit("")).alias("h1_text"),
         F.coalesce(html.raw_tokens(F.col("_html"), html.RECORD_TAGS), F.array().cast("array<string>")).alias("_tokens"),
     )
-    tags = tokens.withColumn("_tags", html.parse_tags(F.col("_tokens")))
+    tags = tokens.withColumn("_tags", html.page_tags(F.col("_tokens")))
     content = tags.select(
         *rest,
         "error",
         "h1_text",
         *[column.alias(name) for name, column in _content_columns().items()],
-        urls.page_links(html.hrefs(F.col("_tags")), F.col("url"), F.col("site")).alias("links"),
+        urls.page_links(F.col("_tags.hrefs"), F.col("url"), F.col("site")).alias("links"),
     )
     scored = content.withColumns(_score_columns())
     return scored.select(*rest, *[name for name, _ in PAGE_CONTENT_FIELDS], "links", "error")
 
 
 def link_edges(content: DataFrame) -> DataFrame:
-    """One row per link of a fetched page: ``(site, src, dst, pos)``; duplicates and self-links stay."""
-    return content.select("site", F.col("url").alias("src"), F.posexplode("links").alias("pos", "dst")).select(
-        "site", "src", "dst", "pos"
-    )
+    """One row per link of a fetched page: ``(site, src, dst, pos)``; duplicates and self-links stay.
+
+    The outer form of explode, as from the inner form Catalyst infers a filter that would extract the links twice.
+    """
+    exploded = content.select("site", F.col("url").alias("src"), F.posexplode_outer("links").alias("pos", "dst"))
+    return exploded.filter(F.col("dst").isNotNull()).select("site", "src", "dst", "pos")
 
 
 def error_defaults() -> dict[str, Column]:

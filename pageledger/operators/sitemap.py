@@ -42,35 +42,35 @@ def sitemap_kind(body: Column) -> Column:
     return F.regexp_extract(text.js_trim(body), _ROOT, 1)
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    """Documents with ``_kind`` and ``_doc``; what is not well-formed XML is dropped."""
+def _entries(docs: DataFrame, kind: str, field: str) -> DataFrame:
+    """Entries of one field of the documents of one kind: ``pos`` and ``entry``; malformed XML has none.
+
+    Documents are sorted out by their text before parsing, and nothing filters on the parsed value, so each is
+    parsed once.
+    """
+    keep = [name for name in docs.columns if name != "body"]
+    wanted = docs.filter(looks_like_xml(F.col("body")) & (sitemap_kind(F.col("body")) == kind))
     options = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
-    xml = docs.filter(looks_like_xml(F.col("body"))).withColumn("_text", text.js_trim(F.col("body")))
-    parsed = xml.select(
-        *[name for name in docs.columns if name != "body"],
-        F.regexp_extract("_text", _ROOT, 1).alias("_kind"),
-        F.from_xml("_text", _DOCUMENT, options).alias("_doc"),
-    )
-    return parsed.filter(F.col("_doc").isNotNull() & F.col("_doc._corrupt_record").isNull())
+    parsed = wanted.select(*keep, F.from_xml(text.js_trim(F.col("body")), _DOCUMENT, options).alias("_doc"))
+    sound = F.when(F.col("_doc._corrupt_record").isNull(), F.col(f"_doc.{field}"))
+    exploded = parsed.select(*keep, F.posexplode_outer(sound).alias("pos", "entry"))
+    return exploded.filter(F.coalesce(F.col("entry.loc"), F.lit("")) != "")
 
 
 def parse_urlset(docs: DataFrame) -> DataFrame:
     """Entries of ``urlset`` documents, with their position in the document; entries without ``loc`` are dropped."""
     keep = [name for name in docs.columns if name != "body"]
-    entries = _parsed(docs).filter(F.col("_kind") == "urlset").select(*keep, F.posexplode("_doc.url").alias("pos", "_entry"))
-    return entries.filter(F.coalesce(F.col("_entry.loc"), F.lit("")) != "").select(
+    return _entries(docs, "urlset", "url").select(
         *keep,
         "pos",
-        F.col("_entry.loc").alias("url"),
-        *[F.nullif(F.col(f"_entry.{name}"), F.lit("")).alias(name) for name in ("lastmod", "priority", "changefreq")],
+        F.col("entry.loc").alias("url"),
+        *[F.nullif(F.col(f"entry.{name}"), F.lit("")).alias(name) for name in ("lastmod", "priority", "changefreq")],
     )
 
 
 def _children(docs: DataFrame) -> DataFrame:
-    entries = _parsed(docs).filter(F.col("_kind") == "sitemapindex")
-    exploded = entries.select("site", "path", F.posexplode("_doc.sitemap").alias("_pos", "_entry"))
-    return exploded.filter(F.coalesce(F.col("_entry.loc"), F.lit("")) != "").select(
-        "site", F.col("_entry.loc").alias("doc_url"), F.concat("path", F.array("_pos")).alias("path")
+    return _entries(docs, "sitemapindex", "sitemap").select(
+        "site", F.col("entry.loc").alias("doc_url"), F.concat("path", F.array("pos")).alias("path")
     )
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text
 from pageledger.functions.sqltext import apply, bind, fold, quote
+from pageledger.session import filter_in_place
 
 
 def select_requests(records: DataFrame) -> DataFrame:
     """Readable pages whose title, description or keywords need work."""
-    return records.filter(F.col("error").isNull() & scores.needs_suggestion())
+    return filter_in_place(records, F.col("error").isNull() & scores.needs_suggestion())
 
 
 def _optional(head: str, value: Column, tail: str = "") -> Column:
@@ -67,6 +68,9 @@ def request_records(prompts: DataFrame, model: str = fixed.REQUEST_MODEL) -> Dat
     return prompts.select("url", F.to_json(request).alias("request"))
 
 
+_ANSWER = "STRUCT<suggested_title:STRING,suggested_description:STRING,suggested_keywords:STRING>"
+
+
 def _answer_sql() -> str:
     """SQL over ``r.content``: the three suggestions, read as JSON or, failing that, by pattern."""
     title, description, keywords = fixed.RESPONSE_KEYS
@@ -96,12 +100,13 @@ def _answer_sql() -> str:
 
     parsed = answer(value(title), value(description), f"CASE WHEN {falsy} THEN NULL ELSE lower({value(keywords)}) END")
     guessed = answer(by_pattern(title), by_pattern(description), f"lower({by_pattern(keywords)})")
-    return bind("try_parse_json(r.content)", "doc", fold({f"doc IS NOT NULL AND {readable}": parsed}, guessed))
+    read = fold({f"doc IS NOT NULL AND {readable}": parsed}, guessed)
+    return bind("try_parse_json(r.content)", "doc", read, _ANSWER)
 
 
 def parse_response(content: Column) -> Column:
     """``struct<suggested_title,suggested_description,suggested_keywords>``; all NULL without an answer."""
-    return apply("r", _answer_sql(), content=content)
+    return apply("r", _answer_sql(), _ANSWER, content=content)
 
 
 def attach_suggestions(records: DataFrame, responses: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pageledger.operators.pages import extract_content, fetch, link_edges
 from pageledger.operators.summary import audit_percentages, audit_summary
 from pageledger.plans import inputs
 from pageledger.plans.audit import AuditOptions, base_urls, site_audit
-from pageledger.session import checkpoint_dir, cut
+from pageledger.session import checkpoint_dir, cut, filter_in_place
 from pageledger.sinks.tables import write_changes, write_json, write_state
 from pageledger.sources.tables import read_state, target_from_config
 from pageledger.streaming.audit_stream import audit_stream
@@ -36,8 +36,10 @@ def title_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def h1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    tags = _tokens(inputs.table(spark, folder, "pages")).withColumn("_tags", html.parse_tags(F.col("_tokens")))
-    counted = tags.select("page_id", html.h1_text(F.col("html")).alias("h1_text"), html.h1_count(F.col("_tags")).alias("h1_count"))
+    tokens = _tokens(inputs.table(spark, folder, "pages"))
+    counted = tokens.select(
+        "page_id", html.h1_text(F.col("html")).alias("h1_text"), html.h1_count(F.col("_tokens")).alias("h1_count")
+    )
     return counted.withColumn("h1_score", scores.h1_score(F.col("h1_count")))
 
 
@@ -303,9 +305,9 @@ def audit_percentages_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per site of the raw pages: how many pages, titles, title issues, headings, heading issues."""
-    tokens = _tokens(inputs.site_pages(spark, folder)).withColumn("_tags", html.parse_tags(F.col("_tokens")))
+    tokens = _tokens(inputs.site_pages(spark, folder))
     fields = tokens.select(
-        "site", html.title_from_tokens(F.col("_tokens")).alias("title"), html.h1_count(F.col("_tags")).alias("h1_count")
+        "site", html.title_from_tokens(F.col("_tokens")).alias("title"), html.h1_count(F.col("_tokens")).alias("h1_count")
     )
     title_bad = scores.title_score(text.js_length(F.col("title"))) != fixed.GOOD
     return fields.groupBy("site").agg(
@@ -335,7 +337,7 @@ def html_summary_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def complete_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     records = _records(spark, folder).withColumn("suggested_description", F.col("og_description"))
-    return records.filter(scores.suggestion_complete()).select("p_partkey", "suggested_title")
+    return filter_in_place(records, scores.suggestion_complete()).select("p_partkey", "suggested_title")
 
 
 # --- keywords ---------------------------------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def filter_in_place(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that were costly to make, without making them twice.
+
+    Catalyst pushes a filter below the projection that computes its columns, by copying the computation into the
+    filter.  For fields parsed out of page text that doubles the parsing.  A filter that also mentions a
+    non-deterministic column has to stay where it is.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
