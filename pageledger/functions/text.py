@@ -102,7 +102,7 @@ def js_number_text(number: Column) -> Column:
 
     def write(value: Column) -> Column:
         size = F.abs(value)
-        whole = (size < 1e21) & (value == F.floor(value).cast("double"))
+        whole = (size < 1e21) & (value % 1.0 == 0.0)
         text = value.cast("string")
         plain = F.rtrim(value.cast("string").try_cast("decimal(38,20)").cast("string"), F.lit("0"))
         return (

@@ -88,7 +88,7 @@ def _resolve_sql() -> str:
 
     kind = fold(
         {
-            "s.scheme = '' AND coalesce(u.base.host, '') = ''": "'invalid'",
+            "s.before IS NULL OR s.scheme = '' AND coalesce(u.base.host, '') = ''": "'invalid'",
             "s.scheme = '' AND NOT startswith(s.before, '//')": "'relative'",
             f"s.scheme IN {special} AND s.scheme <=> u.base.scheme AND NOT startswith(s.before, '//')": "'relative'",
             f"s.scheme = '' OR s.scheme IN {special}": "'host'",
