@@ -246,6 +246,9 @@ _PLAIN_ORIGIN = _PLAIN_HOST.replace("https?://(", "(https?://")
 
 _NESTED_LINK = rf"^(?![^/?]*:){_PLAIN_SEGMENT}{_PLAIN_PATH}{_PLAIN_QUERY}$"
 _PLAIN_PAGE = rf"{_PLAIN_HOST.removesuffix('(?=[/?#]|$)')}{_PLAIN_PATH}(?:[?#].*)?$"
+_PLAIN_SELF = rf"{_PLAIN_HOST.removesuffix('(?=[/?#]|$)')}(?=/){_PLAIN_PATH}{_PLAIN_QUERY}$"
+_HERE_LINK = rf"^\./{_PLAIN_SEGMENT}{_PLAIN_PATH}{_PLAIN_QUERY}$"
+_PARENT_LINK = rf"^\.\./{_PLAIN_SEGMENT}{_PLAIN_PATH}{_PLAIN_QUERY}$"
 _DIRECTORY = r"^(https?://[^/]+/(?:.*/)?)"
 
 
@@ -256,13 +259,20 @@ def _page_links_sql() -> str:
     own_host = "substring_index(origin, '/', -1)"
     rooted = f"named_struct('host', {own_host}, 'url', concat(origin, {encoded}))"
     nested = f"named_struct('host', {own_host}, 'url', concat(directory, {encoded}))"
+    here = f"named_struct('host', {own_host}, 'url', concat(directory, {bind('substring(h, 3)', 'h', encoded)}))"
+    parent = f"CASE WHEN directory = concat(origin, '/') THEN directory ELSE regexp_replace(directory, '[^/]+/$', '') END"
+    above = f"named_struct('host', {own_host}, 'url', concat({parent}, {bind('substring(h, 4)', 'h', encoded)}))"
+    itself = f"named_struct('host', {own_host}, 'url', self)"
     absolute = f"named_struct('host', regexp_extract(h, {quote(_ABSOLUTE_LINK)}, 1), 'url', {encoded})"
     resolved = bind("named_struct('href', h, 'base', page)", "u", _resolve_sql(), PARSED_TYPE)
     general = bind(resolved, "p", f"named_struct('host', p.host, 'url', {_href_sql('p')})", "STRUCT<host:STRING,url:STRING>")
     conditions = {
         f"origin <> '' AND h RLIKE {quote(_ROOTED_LINK)}": rooted,
         f"h RLIKE {quote(_ABSOLUTE_LINK)}": absolute,
+        "self <> '' AND startswith(h, '#')": itself,
         f"directory <> '' AND h RLIKE {quote(_NESTED_LINK)}": nested,
+        f"directory <> '' AND h RLIKE {quote(_PARENT_LINK)}": above,
+        f"directory <> '' AND h RLIKE {quote(_HERE_LINK)}": here,
     }
     one = fold(conditions, general)
     kept = f"filter(transform(w.hrefs, h -> {one}), link -> link.host <=> w.host AND NOT contains(link.url, 'mailto:'))"
@@ -274,8 +284,16 @@ def _page_links_sql() -> str:
     directory = _percent_encode("folder", _LINK_SAFE)
     directory = bind(f"regexp_extract({slashed}, {quote(_DIRECTORY)}, 1)", "folder", directory)
     directory = f"CASE WHEN w.url RLIKE {quote(_PLAIN_PAGE)} THEN {directory} ELSE '' END"
-    with_directory = bind(directory, "directory", bind(page, "page", links, "ARRAY<STRING>"), "ARRAY<STRING>")
-    return bind(f"regexp_extract(w.url, {quote(_PLAIN_ORIGIN)}, 1)", "origin", with_directory, "ARRAY<STRING>")
+    bare = bind("substring_index(w.url, '#', 1)", "bare", fold({f"bare RLIKE {quote(_PLAIN_SELF)}": _percent_encode("bare", _LINK_SAFE)}, "''"))
+    whole = links
+    for name, value in (
+        ("page", page),
+        ("self", bare),
+        ("directory", directory),
+        ("origin", f"regexp_extract(w.url, {quote(_PLAIN_ORIGIN)}, 1)"),
+    ):
+        whole = bind(value, name, whole, "ARRAY<STRING>")
+    return whole
 
 
 def page_links(page_hrefs: Column, page_url: Column, host: Column) -> Column:

@@ -2,7 +2,7 @@
 
 The queue of a crawler is first-in first-out, so its order is (depth, place of the parent, place of the link).
 Each level is therefore one join with the edge table.  Levels are written to the checkpoint folder, numbered in
-blocks of parents, and never gathered per site.
+range partitions, and never gathered per site.
 """
 
 from __future__ import annotations
@@ -10,18 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
-from pageledger.operators.numbering import add_offsets
+from pageledger.operators.numbering import add_offsets, in_blocks
 from pageledger.operators.sitemap import first_listing
 from pageledger.session import cut
 
-# parents per numbering block: what one window group holds is this many pages' links at most
-_PARENTS_PER_BLOCK = 4096
-
-
 def seeds(listing: DataFrame | None, bases: DataFrame, sitemap_only: bool = False) -> DataFrame:
     """Start URLs ``(site, url, ord)``: listed URLs in order, then each site's base URL ``bases (site, url)``."""
     base = bases.select("site", "url", F.lit((1 << 62)).alias("ord"))
@@ -45,15 +40,13 @@ def first_visit(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _in_blocks(level: DataFrame, depth: int, limit: int) -> DataFrame:
-    """Number rows inside blocks of neighbouring parents.
+def _level(fresh: DataFrame, depth: int, limit: int) -> DataFrame:
+    """Write one level, numbered inside blocks of its queue order.
 
     What lies beyond the limit inside its block lies beyond it in the site too and is not kept.
     """
-    blocked = level.withColumn("block", F.expr(f"parent_seq div {_PARENTS_PER_BLOCK}"))
-    inside = W.partitionBy("site", "block").orderBy("parent_seq", "pos", "url")
-    local = blocked.withColumn("local", F.row_number().over(inside)).filter(F.col("local") <= limit)
-    return local.select("site", "url", F.lit(depth).alias("depth"), "block", F.col("local").cast("bigint").alias("local"))
+    blocks = in_blocks(fresh, ["site"], ["parent_seq", "pos", "url"]).filter(F.col("local") <= limit)
+    return cut(blocks.select("site", "url", F.lit(depth).alias("depth"), "block", "local"), "crawl-level")
 
 
 def _numbered(levels: list[DataFrame], cached: DataFrame | None, limit: int) -> DataFrame:
@@ -90,7 +83,7 @@ def crawl(
     first = first_visit(first)
     if known is not None:
         first = minus(first, known)
-    levels = [cut(_in_blocks(first, 0, limit), "crawl-level")]
+    levels = [_level(first, 0, limit)]
     for level in range(1, depth + 1 if follow_links else 1):
         parents = _numbered(levels, cached, limit).filter(F.col("depth") == level - 1)
         reached = parents.select("site", F.col("url").alias("src"), F.col("seq").alias("parent_seq")).join(
@@ -98,7 +91,7 @@ def crawl(
         )
         visited = [taken.select("site", "url") for taken in (levels if known is None else [known, *levels])]
         fresh = minus(first_visit(reached), reduce(DataFrame.unionByName, visited))
-        following = cut(_in_blocks(fresh, level, limit), "crawl-level")
+        following = _level(fresh, level, limit)
         if following.isEmpty():
             break
         levels.append(following)

@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pageledger.session import cut
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Add ``block`` and ``local``, the row's number inside its key and block.
+
+    Blocks are range partitions: they follow the order and are of even size however the rows spread over keys,
+    parents or documents.  The order must be total.  Write the result before using it twice, as another run may
+    draw other block borders.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("block", F.spark_partition_id())
+    inside = W.partitionBy(*keys, "block").orderBy(*order)
+    return ranged.withColumn("local", F.row_number().over(inside).cast("bigint"))
+
+
 def add_offsets(numbered: DataFrame, keys: Sequence[str], blocks: Sequence[str], local: str, out: str) -> DataFrame:
     """Turn numbers that are dense inside a block into numbers that are dense inside the key.
 
@@ -25,12 +37,5 @@ def add_offsets(numbered: DataFrame, keys: Sequence[str], blocks: Sequence[str],
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, name: str) -> DataFrame:
-    """Number the rows of each key from 1 in the given total order.
-
-    Range partitions serve as blocks: they follow the order, are of even size whatever the keys look like, and are
-    written out once so that both the block sizes and the rows come from the same partitioning.
-    """
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
-    inside = W.partitionBy(*keys, "_block").orderBy(*order)
-    fixed_blocks = cut(ranged, name).withColumn("_local", F.row_number().over(inside).cast("bigint"))
-    return add_offsets(fixed_blocks, keys, ["_block"], "_local", out).drop("_block", "_local")
+    """Number the rows of each key from 1 in the given total order."""
+    return add_offsets(cut(in_blocks(df, keys, order), name), keys, ["block"], "local", out).drop("block", "local")

@@ -51,8 +51,7 @@ def test_links_can_be_left_alone(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, monkeypatch, seed):
-    monkeypatch.setattr(frontier, "_PARENTS_PER_BLOCK", 3)
+def test_random_graphs(spark, seed):
     chance = random.Random(seed)
     nodes = [f"n{n}" for n in range(60)]
     links = {node: chance.choices(nodes, k=chance.randrange(5)) for node in nodes}

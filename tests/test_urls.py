@@ -45,8 +45,10 @@ def test_short_way_for_plain_links_gives_the_same(spark):
     bases = [
         "https://x.org/a/b?q=1#f", "https://x.org", "https://x.org/a/", "https://x.org/é/b", "https://x.org/a/../b", "https://X.org/a/b",
         "http://x.org/a/b?c/d", "https://x.org:8443/p/q", "https://x.org?x=/y/z",
+        "https://x.org/a/b/c/", "https://x.org/a?é", "https://x.org/a?'", "https://x.org/a//b/c", "https://x.org/a/?q#é", "https://x.org#top",
     ]
-    links = [*RESOLVED, "x/y/", "é/ü", "x:y", "a.b", ".a", "x//y", "x/../y", "x/.y", "x;y", "a?b:c", "a/b:c", "%2e/x", "https://x.org/é"]
+    links = [*RESOLVED, "x/y/", "é/ü", "x:y", "a.b", ".a", "x//y", "x/../y", "x/.y", "x;y", "a?b:c", "a/b:c", "%2e/x", "https://x.org/é",
+             "../é/", "../../x", "../.x", "../x:y", "../?q", "./x?y", "./x/../y", "./x:y", "#é", "##", "#a?b", "../x/./y", "..", "../x//y"]
     frame = spark.createDataFrame(list(itertools.product(links, bases)), "link string, base string")
     general = urls.normalize_url(F.col("link"), F.col("base"))
     rows = frame.select("link", "base", general.alias("url"), urls.hostname(general).alias("host"),
