@@ -68,24 +68,27 @@ def parse_urlset(docs: DataFrame) -> DataFrame:
     )
 
 
-def _children(docs: DataFrame) -> DataFrame:
-    return _entries(docs, "sitemapindex", "sitemap").select(
-        "site", F.col("entry.loc").alias("doc_url"), F.concat("path", F.array("pos")).alias("path")
-    )
+def index_children(docs: DataFrame) -> DataFrame:
+    """Children named by ``sitemapindex`` documents: ``(site, doc_url, pos, child)``."""
+    return _entries(docs, "sitemapindex", "sitemap").select("site", "doc_url", "pos", F.col("entry.loc").alias("child"))
 
 
 def expand_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """All listed URLs of the sites whose root document is in ``roots (site, doc_url)``.
 
-    Index documents are followed level by level.  A document is read once, at its first place in depth-first order:
-    it is followed again only when a smaller path to it turns up, so cycles end and the order is exact.
+    Documents are parsed where they are read; only addresses take part in joins.  Index documents are followed level
+    by level.  A document counts once, at its first place in depth-first order: it is followed again only when a
+    smaller path to it turns up, so cycles end and the order is exact.
     """
+    children = cut(index_children(docs), "sitemap-children")
     empty_path = F.array().cast("array<int>")
     best = cut(roots.select("site", "doc_url", empty_path.alias("path")).distinct(), "sitemap-roots")
     frontier = best
     while not frontier.isEmpty():
-        children = _children(frontier.join(docs, ["site", "doc_url"]))
-        smallest = children.groupBy("site", "doc_url").agg(F.min("path").alias("path"))
+        below = frontier.join(children, ["site", "doc_url"]).select(
+            "site", F.col("child").alias("doc_url"), F.concat("path", F.array("pos")).alias("path")
+        )
+        smallest = below.groupBy("site", "doc_url").agg(F.min("path").alias("path"))
         known = best.select("site", "doc_url", F.col("path").alias("_known"))
         better = smallest.join(known, ["site", "doc_url"], "left").filter(
             F.col("_known").isNull() | (F.col("path") < F.col("_known"))
@@ -93,7 +96,7 @@ def expand_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = cut(better.drop("_known"), "sitemap-level")
         merged = best.unionByName(frontier).groupBy("site", "doc_url").agg(F.min("path").alias("path"))
         best = cut(merged, "sitemap-docs")
-    entries = parse_urlset(best.join(docs, ["site", "doc_url"])).withColumnRenamed("pos", "_entry_pos")
+    entries = parse_urlset(docs).join(best, ["site", "doc_url"]).withColumnRenamed("pos", "_entry_pos")
     numbered = number_rows(entries, ["site"], ["path", "_entry_pos"], "_number", "sitemap-urls")
     return numbered.select(
         "site", "doc_url", (F.col("_number") - 1).alias("pos"), "url", "lastmod", "priority", "changefreq"
