@@ -7,14 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import chat, exact_dedup, packing, simhash, topk
+from pageledger.llm import chat, exact_dedup, packing, pieces, pii, simhash, topk, toxicity
 from pageledger.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, scored by a model of the labelled ones that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    score = toxicity.fit(docs.filter(~toxicity.held_out()), table(spark, folder, "labels").select("doc_id", "toxic"))
+    return score(docs, "doc_id").select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op4_pii_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.sanitise(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, read back from the formatted text."""
     said = "\\### Assistant: </turn> ok"
@@ -37,6 +58,13 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded, and what decoding gives back."""
+    encoded = pieces.encode(table(spark, folder, "documents"))
+    decoded = pieces.decode(encoded.select("*", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256")))
+    return decoded.select("doc_id", "n_ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,7 +82,10 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_pii_sanitisation": op4_pii_sanitisation,
+    "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
