@@ -1,8 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The model is fitted on a bounded sample of labelled documents (``FIT_ROWS``), taken by hash and dealt into three parts by
-hash: the first gives the learned lexicon (words, and stems of the first letters, that toxic documents hold far more often than
-others), the second the trees, the third the calibration, so no part judges its own rows.  Features are densities of the
+The model is fitted on a bounded sample of labelled documents (``FIT_ROWS``), taken by hash and dealt into four parts by
+hash: two give the learned lexicon (words, and stems of the first letters, that toxic documents hold far more often than
+others), the third the trees, the fourth the calibration, so no part judges its own rows.  Features are densities of the
 lexicon and of stems, how near insults stand to the second person, capitals, punctuation and obfuscation.  All documents are then
 scored in one pass without a shuffle.
 
@@ -15,7 +15,9 @@ rows.  ``lang``, ``source``, ids and labels are not features.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +30,52 @@ from pyspark.sql import functions as F
 from pageledger.llm.common import Scratch
 
 #: Labelled documents that the model is fitted on at most, and terms that the learned lexicon holds at most.
-FIT_ROWS, LEXICON_TERMS = 18_000, 600
-#: Letters of a stem; least number of toxic documents with a term; least log ratio of its rates.
-STEM, LEAST_DOCS, LEAST_RATIO = 5, 4, 2.5
+FIT_ROWS, LEXICON_TERMS = 18_000, 1_000
+#: Letters of a stem, from and to; uses of a term that a document counts, that toxic documents need, least log ratio.
+STEM, LONG_STEM, MOST_USES, LEAST_USES, LEAST_RATIO = 3, 7, 3, 6, 2.3
 TREES, DEPTH, THRESHOLD = 20, 3, 0.3
 #: The lexicon that holds without any labels.
 INSULTS = tuple("idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown imbecile dumb filth vermin bastard hate".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vuestro".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
-NAMES = ("hits", "hit_rate", "kinds", "stems", "stem_rate", "second", "near", "crowd", "capitals", "shouted", "bangs", "runs", "hidden", "hidden_rate", "length")
+NAMES = ("hits", "hit_rate", "kinds", "stems", "stem_rate", "stemmed", "weight", "weight_rate", "same", "second", "near", "crowd", "capitals", "shouted", "bangs", "runs", "hidden", "hidden_rate", "length")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"(?=[^\s]*[^\W\d_][0-9@$!*._-]+[^\W\d_])[^\s]{4,24}")
 _RUN = re.compile(r"[!?]{2,}")
 
 
-def features(text: str, lexicon: frozenset[str], stems: frozenset[str]) -> list[float]:
+def _stemmed(words: list[str], stems: dict[str, float]) -> tuple[Counter, float, int]:
+    """Words that begin with a stem and how often they stand, their summed weight, and the most uses of one stem."""
+    if not stems:
+        return Counter(), 0.0, 0
+    heads = _heads(tuple(stems))
+    found = Counter(word for word in words if word[:STEM] in heads and len(word) > STEM)
+    weight, uses = 0.0, Counter()
+    for word, n in list(found.items()):
+        held = [word[:size] for size in range(STEM, min(LONG_STEM, len(word) - 1) + 1) if word[:size] in stems]
+        if held:
+            weight += n * max(stems[stem] for stem in held)
+            uses.update({stem: n for stem in held})
+        else:
+            del found[word]
+    return found, weight, max(uses.values(), default=0)
+
+
+@lru_cache(4)
+def _heads(stems: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(stem[:STEM] for stem in stems)
+
+
+def features(text: str, lexicon: frozenset[str], stems: dict[str, float]) -> list[float]:
     if not text:
         return [0.0] * len(NAMES)
     lower = text.lower()
     words = _WORD.findall(lower)
     n = len(words) or 1
     hits = [at for at, word in enumerate(words) if word in lexicon]
-    stem_hits = sum(word[:STEM] in stems for word in words) if stems else 0
+    stemmed, weight, same = _stemmed(words, stems)
+    stem_hits = sum(stemmed.values())
     second = [at for at, word in enumerate(words) if word in SECOND]
     near = 0.0
     if hits and second:
@@ -72,13 +97,13 @@ def features(text: str, lexicon: frozenset[str], stems: frozenset[str]) -> list[
     bangs = lower.count("!") + lower.count("?")
     runs = len(_RUN.findall(text)) if bangs else 0
     return [
-        float(len(hits)), 1000.0 * len(hits) / n, float(len({words[at] for at in hits})), float(stem_hits), 1000.0 * stem_hits / n,
+        float(len(hits)), 1000.0 * len(hits) / n, float(len({words[at] for at in hits})), float(stem_hits), 1000.0 * stem_hits / n, float(len(stemmed)), weight, 1000.0 * weight / n, float(same),
         1000.0 * len(second) / n, near, float(crowd), capitals / len(text), float(shouted), 1000.0 * bangs / len(text), float(runs),
         float(hidden), 1000.0 * hidden / n, float(np.log1p(n)),
     ]
 
 
-def with_features(docs: DataFrame, lexicon: frozenset[str], stems: frozenset[str]) -> DataFrame:
+def with_features(docs: DataFrame, lexicon: frozenset[str], stems: dict[str, float]) -> DataFrame:
     """All columns of ``docs`` but the text, and ``features array<double>``."""
     names = [name for name in docs.columns if name != "text"]
 
@@ -92,19 +117,37 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], stems: frozenset[str
     return docs.mapInArrow(of, schema + ", features array<double>")
 
 
-def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Words and stems that toxic texts hold far more often; copies of a text count once."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]++", -1))
-    stems = F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(STEM)))))
-    texts = sample.dropDuplicates(["text"]).select("toxic", F.concat(F.filter(words, lambda w: F.length(w) > 2), stems).alias("terms"))
+def _lexicon(sample: DataFrame) -> tuple[frozenset[str], dict[str, float]]:
+    """Words, and stems with their log ratios, that toxic texts hold far more often; copies of a text count once.
+
+    A document counts a term up to ``MOST_USES`` times.  Each task sums its batches before the shuffle.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = (Counter(), Counter())
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = Counter(word for word in _WORD.findall(text.lower()) if len(word) >= STEM)
+                terms = Counter(words)
+                for word, n in words.items():
+                    for size in range(STEM, min(LONG_STEM, len(word) - 1) + 1):
+                        terms["^" + word[:size]] += n
+                sums[toxic].update({term: min(n, MOST_USES) for term, n in terms.items()})
+            names = list(sums[1])
+            yes, no = [sums[1][name] for name in names], [sums[0][name] for name in names]
+            rest = [(name, n) for name, n in sums[0].items() if name not in sums[1]]
+            columns = [names + [name for name, _ in rest], yes + [0] * len(rest), no + [n for _, n in rest]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["term", "yes", "no"])
+
+    texts = sample.dropDuplicates(["text"]).select(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text")
     seen = texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not seen[0] or not seen[1]:
-        return frozenset(), frozenset()
-    counts = texts.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    ratio = F.log((F.col("yes") + 0.5) / float(seen[0])) - F.log((F.col("no") + 0.5) / float(seen[1]))
-    best = counts.withColumn("ratio", ratio).filter((F.col("yes") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
-    terms = [row["term"] for row in best.orderBy(F.desc("yes"), "term").limit(LEXICON_TERMS).collect()]
-    return frozenset(t for t in terms if t[0] != "^"), frozenset(t[1:] for t in terms if t[0] == "^")
+        return frozenset(), {}
+    counts = texts.mapInArrow(count, "term string, yes bigint, no bigint").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    ratio = F.round(F.log((F.col("yes") + 0.5) / float(seen[0])) - F.log((F.col("no") + 0.5) / float(seen[1])), 6)
+    best = counts.withColumn("ratio", ratio).filter((F.col("yes") >= LEAST_USES) & (F.col("ratio") >= LEAST_RATIO))
+    rows = best.orderBy(F.desc(F.round(F.col("yes") * F.col("ratio"), 3)), "term").limit(LEXICON_TERMS).collect()
+    return frozenset(r["term"] for r in rows if r["term"][0] != "^"), {r["term"][1:]: r["ratio"] for r in rows if r["term"][0] == "^"}
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callable[..., DataFrame]:
@@ -115,20 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callabl
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(marks, "doc_id").distinct()
     chosen = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(fit_rows)
     chosen = scratch.keep(chosen, "chosen")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(3))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     # At most fit_rows slim rows, so they can be sent to every task.
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").withColumn("part", part)
     sample = scratch.keep(sample, "sample")
-    words, stems = _lexicon(sample.filter("part = 0"))
+    words, stems = _lexicon(sample.filter("part < 2"))
     lexicon = words | frozenset(INSULTS)
-    made = scratch.keep(with_features(sample.filter("part > 0"), lexicon, stems).coalesce(2), "features")
+    made = scratch.keep(with_features(sample.filter("part >= 2"), lexicon, stems).coalesce(2), "features")
     made = made.withColumn("v", array_to_vector("features"))
     kinds = {(row["part"], row["toxic"]) for row in made.select("part", "toxic").distinct().collect()}
     trees = calibration = None
-    if kinds >= {(1, 0), (1, 1), (2, 0), (2, 1)}:
-        trees = GBTClassifier(featuresCol="v", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(made.filter("part = 1"))
-        raw = trees.transform(made.filter("part = 2")).select("toxic", vector_to_array("probability")[1].alias("raw"))
+    if kinds >= {(2, 0), (2, 1), (3, 0), (3, 1)}:
+        trees = GBTClassifier(featuresCol="v", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(made.filter("part = 2"))
+        raw = trees.transform(made.filter("part = 3")).select("toxic", vector_to_array("probability")[1].alias("raw"))
         calibration = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="score").fit(raw.withColumn("toxic", F.col("toxic").cast("double")))
 
     def score(rows: DataFrame, *columns: str) -> DataFrame:
