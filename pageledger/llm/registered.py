@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import chat, exact_dedup, packing, pieces, pii, simhash, topk, toxicity
+from pageledger.llm import chat, exact_dedup, katz, packing, pieces, pii, simhash, topk, toxicity
 from pageledger.llm.common import table
 
 
@@ -65,6 +65,13 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text scored by a model of the texts that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = katz.score(table(spark, folder, "documents").select("doc_id", "text", (~held_out).alias("train")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii_sanitisation": op4_pii_sanitisation,
     "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
