@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from pageledger.session import checkpoint_dir
 #: Bytes of text that a task works on at once; bounds the numpy arrays made from them.
 SLICE_BYTES = 4 << 20
 
+_BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -84,3 +89,33 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         to = min(max(to, at + 1), n)
         yield at, to
         at = to
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them, compressed."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(values.astype(f"<u{width}").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+
+
+@lru_cache(2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64.  With prefix sums over the first, the hash of any span is a difference
+    times the second at its start."""
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * _MIX
+    return values ^ (values >> np.uint64(29))
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of mixed hashes; they rise with the hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)

@@ -22,16 +22,14 @@ rows; columns other than ``doc_id``, ``text`` and ``train`` are passed over.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageledger.llm.common import Scratch, buffers, freed_shuffles, slices, text_bytes
+from pageledger.llm.common import Scratch, buffers, freed_shuffles, mixed, packed, part_of, powers, slices, text_bytes, unpacked
 
 #: Counts up to this are discounted.
 K = 5
@@ -39,8 +37,6 @@ K = 5
 BATCH_BYTES, HASH_BYTES = 16 << 20, 2 << 20
 #: Distinct words or pairs that a partition should get on average.
 PARTITION_WORDS = 1 << 18
-_BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _END = np.uint64(0x243F6A8885A308D3)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,29 +44,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the least width that holds them, compressed."""
-    top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(values.astype(f"<u{width}").tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
-
-
-@lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(32))) * _MIX
-    return values ^ (values >> np.uint64(29))
-
-
 def token_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of texts that lie end to end, and how many words each text has."""
     size = int(offsets[-1] - offsets[0])
@@ -86,10 +59,10 @@ def token_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     opens[inner] = word[inner]
     closes[inner - 1] = word[inner - 1]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-    up, down = _powers(1 << (size - 1).bit_length())
+    up, down = powers(1 << (size - 1).bit_length())
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-    return _mixed((sums[last + 1] - sums[first]) * down[first]), np.diff(np.searchsorted(first, ends_at))
+    return mixed((sums[last + 1] - sums[first]) * down[first]), np.diff(np.searchsorted(first, ends_at))
 
 
 def _batches(docs: DataFrame) -> DataFrame:
@@ -113,7 +86,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                 words, place = np.unique(np.concatenate(hashes), return_inverse=True)
                 train = part.column(1)[a:b].to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(place[np.repeat(train, n_tokens)], minlength=len(words))
-                row = [number, part.column(0)[a:b].to_pylist(), train.tolist(), _packed(n_tokens), words.tobytes(), _packed(counts), _packed(place)]
+                row = [number, part.column(0)[a:b].to_pylist(), train.tolist(), packed(n_tokens), words.tobytes(), packed(counts), packed(place)]
                 number += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4))],
@@ -124,18 +97,14 @@ def _batches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "batch bigint, doc_ids array<bigint>, train array<boolean>, n_tokens binary, words binary, counts binary, place binary")
 
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
 def _ask_words(batches: DataFrame, parts: int) -> DataFrame:
     def of(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for batch, words, counts in zip(*(row.column(name).to_pylist() for name in ("batch", "words", "counts"))):
-                words, counts = np.frombuffer(words, np.uint64), _unpacked(counts)
-                edges = np.searchsorted(_part(words, parts), np.arange(parts + 1))
+                words, counts = np.frombuffer(words, np.uint64), unpacked(counts)
+                edges = np.searchsorted(part_of(words, parts), np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(edges))
-                made = [(int(p), batch, words[edges[p] : edges[p + 1]].tobytes(), _packed(counts[edges[p] : edges[p + 1]])) for p in full]
+                made = [(int(p), batch, words[edges[p] : edges[p + 1]].tobytes(), packed(counts[edges[p] : edges[p + 1]])) for p in full]
                 yield pa.RecordBatch.from_pylist([dict(zip(("part", "batch", "words", "counts"), m)) for m in made], _ASKED)
 
     return batches.select("batch", "words", "counts").mapInArrow(of, "part int, batch bigint, words binary, counts binary")
@@ -151,12 +120,12 @@ def _count_words(parts: int):
     def of(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-        uses = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()]).astype(np.float64)
+        uses = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()]).astype(np.float64)
         _, place = np.unique(np.concatenate(words), return_inverse=True)
         totals = np.bincount(place, uses).astype(np.int64)
         edges = np.cumsum([0, *map(len, words)])
         rows = [
-            {"part": part, "batch": batch, "ids": _packed(place[a:b].astype(np.uint64) * parts + part), "counts": _packed(totals[place[a:b]]), "sums": None}
+            {"part": part, "batch": batch, "ids": packed(place[a:b].astype(np.uint64) * parts + part), "counts": packed(totals[place[a:b]]), "sums": None}
             for batch, a, b in zip(table.column("batch").to_pylist(), edges, edges[1:])
         ]
         sums = [float(totals.sum()), float((totals > 0).sum()), *np.bincount(totals[(totals > 0) & (totals <= K + 1)], minlength=K + 2)[1:].astype(float)]
@@ -203,14 +172,14 @@ def _pairs(model: Words, parts: int, hot: float, n_train: int, base: tuple[float
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.column("batch")[0].as_py()
         words = np.frombuffer(left.column("words")[0].as_py(), np.uint64)
-        n_tokens = _unpacked(left.column("n_tokens")[0].as_py()).astype(np.int64)
+        n_tokens = unpacked(left.column("n_tokens")[0].as_py()).astype(np.int64)
         train = np.array(left.column("train")[0].as_py(), bool)
-        place = _unpacked(left.column("place")[0].as_py()).astype(np.int64)
+        place = unpacked(left.column("place")[0].as_py()).astype(np.int64)
         ids, counts = np.empty(len(words) + 1, np.uint64), np.empty(len(words) + 1, np.int64)
         ids[-1], counts[-1] = start, n_train
         answers = sorted(zip(*(right.column(name).to_pylist() for name in ("part", "ids", "counts"))))
-        ids[:-1] = np.concatenate([_unpacked(x) for _, x, _ in answers])
-        counts[:-1] = np.concatenate([_unpacked(x) for _, _, x in answers])
+        ids[:-1] = np.concatenate([unpacked(x) for _, x, _ in answers])
+        counts[:-1] = np.concatenate([unpacked(x) for _, _, x in answers])
         doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
         before = np.empty(len(place), np.int64)
         before[1:] = place[:-1]
@@ -223,8 +192,8 @@ def _pairs(model: Words, parts: int, hot: float, n_train: int, base: tuple[float
         else:
             mine = train[doc]
             place, before, doc = place[mine], before[mine], doc[mine]
-        mixed = _mixed(ids)
-        target = _part(np.where(counts[before] >= hot, _mixed(mixed[before] + ids[place]), mixed[before]), parts)
+        spread = mixed(ids)
+        target = part_of(np.where(counts[before] >= hot, mixed(spread[before] + ids[place]), spread[before]), parts)
         order = np.lexsort((ids[place], ids[before], target))
         place, before, doc, target = place[order], before[order], doc[order], target[order]
         fresh = np.ones(len(place), bool)
@@ -240,11 +209,11 @@ def _pairs(model: Words, parts: int, hot: float, n_train: int, base: tuple[float
             new[1:] = context[1:] != context[:-1]
             runs = np.flatnonzero(new)
             row = {
-                "part": int(part), "batch": batch, "contexts": _packed(ids[context[runs]]), "totals": _packed(counts[context[runs]]),
-                "sizes": _packed(np.diff(np.append(runs, len(pair)))), "words": _packed(ids[word]), "counts": _packed(counts[word]), "uses": _packed(uses[a:b]),
+                "part": int(part), "batch": batch, "contexts": packed(ids[context[runs]]), "totals": packed(counts[context[runs]]),
+                "sizes": packed(np.diff(np.append(runs, len(pair)))), "words": packed(ids[word]), "counts": packed(counts[word]), "uses": packed(uses[a:b]),
             }
             if scoring:
-                row["docs"] = _packed(doc[pair[0] : pair[-1] + uses[b - 1]])
+                row["docs"] = packed(doc[pair[0] : pair[-1] + uses[b - 1]])
             rows.append(row)
         return pa.Table.from_pylist(rows, _PAIRS)
 
@@ -259,9 +228,9 @@ _MODEL_SQL = "part bigint, contexts binary, words binary, uses binary, hot bigin
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context, context count, word and word count of each pair of a row."""
-    sizes = _unpacked(row["sizes"]).astype(np.int64)
-    contexts, totals = _unpacked(row["contexts"]).astype(np.uint64), _unpacked(row["totals"]).astype(np.int64)
-    return np.repeat(contexts, sizes), np.repeat(totals, sizes), _unpacked(row["words"]).astype(np.uint64), _unpacked(row["counts"]).astype(np.int64)
+    sizes = unpacked(row["sizes"]).astype(np.int64)
+    contexts, totals = unpacked(row["contexts"]).astype(np.uint64), unpacked(row["totals"]).astype(np.int64)
+    return np.repeat(contexts, sizes), np.repeat(totals, sizes), unpacked(row["words"]).astype(np.uint64), unpacked(row["counts"]).astype(np.int64)
 
 
 def _count_pairs(model: Words, hot: float):
@@ -271,7 +240,7 @@ def _count_pairs(model: Words, hot: float):
         rows = table.to_pylist()
         read = [_read(row) for row in rows]
         context, total, word, count = (np.concatenate([x[at] for x in read]) for at in range(4))
-        uses = np.concatenate([_unpacked(row["uses"]) for row in rows]).astype(np.int64)
+        uses = np.concatenate([unpacked(row["uses"]) for row in rows]).astype(np.int64)
         order = np.lexsort((word, context))
         context, total, word, count, uses = context[order], total[order], word[order], count[order], uses[order]
         fresh = np.ones(len(context), bool)
@@ -280,7 +249,7 @@ def _count_pairs(model: Words, hot: float):
         uses = np.add.reduceat(uses, first)
         context, total, word, count = context[first], total[first], word[first], count[first]
         part = rows[0]["part"]
-        made = [{"part": part, "contexts": _packed(context), "words": _packed(word), "uses": _packed(uses), "hot": None, "sums": None}]
+        made = [{"part": part, "contexts": packed(context), "words": packed(word), "uses": packed(uses), "hot": None, "sums": None}]
         made.append({"part": None, "hot": None, "sums": np.bincount(uses[uses <= K + 1], minlength=K + 2)[1:].astype(float).tolist()})
         many = np.flatnonzero(total >= hot)
         if len(many):
@@ -300,9 +269,9 @@ def _score_pairs(model: Words, d: np.ndarray, hot: float, sums: dict[int, list[f
         made = []
         tables = stored.to_pylist()
         known = tables[0] if tables else None
-        context = _unpacked(known["contexts"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
-        word = _unpacked(known["words"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
-        uses = _unpacked(known["uses"]).astype(np.int64) if known else np.zeros(0, np.int64)
+        context = unpacked(known["contexts"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
+        word = unpacked(known["words"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
+        uses = unpacked(known["uses"]).astype(np.int64) if known else np.zeros(0, np.int64)
         rows = asked.to_pylist()
         mine = [row for row in rows if row["contexts"] is not None]
         made += [{"batch": row["batch"], "docs": row["docs"], "sums": row["sums"], "score": None} for row in rows if row["contexts"] is None]
@@ -350,11 +319,11 @@ def _score_pairs(model: Words, d: np.ndarray, hot: float, sums: dict[int, list[f
         logs = np.log10(np.maximum(chance, 1e-300))
         at = 0
         for asked_row, (contexts, *_) in zip(mine, read):
-            n = _unpacked(asked_row["uses"]).astype(np.int64)
-            docs = _unpacked(asked_row["docs"]).astype(np.int64)
+            n = unpacked(asked_row["uses"]).astype(np.int64)
+            docs = unpacked(asked_row["docs"]).astype(np.int64)
             found, place = np.unique(docs, return_inverse=True)
             score = np.bincount(place, np.repeat(logs[at : at + len(contexts)], n), len(found))
-            made.append({"batch": asked_row["batch"], "docs": _packed(found), "sums": None, "score": score.tobytes()})
+            made.append({"batch": asked_row["batch"], "docs": packed(found), "sums": None, "score": score.tobytes()})
             at += len(contexts)
         return pa.Table.from_pylist(made, _SCORED)
 
@@ -373,7 +342,7 @@ def _by_document(tokens: int):
                 n_tokens, n_known = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
                 base = np.frombuffer(row["sums"])
             else:
-                np.add.at(score, _unpacked(row["docs"]).astype(np.int64), np.frombuffer(row["score"]))
+                np.add.at(score, unpacked(row["docs"]).astype(np.int64), np.frombuffer(row["score"]))
         columns = (pa.array(ids, pa.int64()), pa.array(train), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(score))
         return pa.table(columns, ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
