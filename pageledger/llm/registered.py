@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import chat, exact_dedup, katz, packing, pieces, pii, simhash, topk, toxicity
+from pageledger.llm import chat, exact_dedup, katz, packing, pieces, pii, simhash, suffix_dedup, topk, toxicity
 from pageledger.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op4_pii_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.sanitise(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] != "term")
@@ -91,6 +96,7 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pii_sanitisation": op4_pii_sanitisation,
     "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
