@@ -67,9 +67,9 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
-def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """As many partitions as hold ``per_partition`` rows each, and no fewer than the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+def raw_hash(column: str = "text") -> Column:
+    """With the id it tells rows apart that share one; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

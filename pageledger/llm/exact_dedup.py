@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageledger.llm.common import Scratch, text_bytes
+from pageledger.llm.common import Scratch, raw_hash, text_bytes
 
 MODULI = (2147483647, 2147483629)
 BASES = (1000003, 69621113)
@@ -61,7 +61,7 @@ class Polynomial:
 
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYTES, moduli: tuple[int, int] = MODULI) -> DataFrame:
-    """``doc_id, fp, n_bytes, text_sha256`` of the normalised text of each row."""
+    """``doc_id, fp, n_bytes, text_sha256`` of the normalised text of each row, and ``raw``, a hash of the text as it is."""
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Polynomial(chunk, moduli)
@@ -73,8 +73,8 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
                 fps.append(first << 31 | second)
                 sizes.append(len(text))
                 shas.append(hashlib.sha256(text).hexdigest())
-            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_bytes", "text_sha256"])
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n_bytes", "text_sha256", "raw"])
 
     def shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Polynomial(chunk, moduli)
@@ -85,11 +85,11 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
                 part = hasher.combine(part, (0, 0), after.as_py())
                 first.append(part[0])
                 second.append(part[1])
-            columns = [*batch.columns[:3], batch.column(5), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_bytes", "text_sha256", "f1", "f2"])
+            columns = [*batch.columns[:3], *batch.columns[5:7], pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_bytes", "text_sha256", "raw", "f1", "f2"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body"))
-    result = "doc_id bigint, fp bigint, n_bytes bigint, text_sha256 string"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body"), raw_hash().alias("raw"))
+    result = "doc_id bigint, fp bigint, n_bytes bigint, text_sha256 string, raw bigint"
     small = rows.filter(F.octet_length("body") <= huge).mapInArrow(whole, result)
     size = F.octet_length("body").cast("bigint")
     upper = "".join(map(chr, range(65, 91)))
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
         size.alias("n_bytes"),
         "body",
         F.sha2(F.translate("text", upper, upper.lower()), 256).alias("text_sha256"),
+        raw_hash().alias("raw"),
     )
     pieces = large.withColumn("at", F.explode(F.expr(f"sequence(0L, n_bytes - 1, {chunk}L)"))).select(
         "uid",
@@ -108,11 +109,12 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYT
         F.greatest(F.col("n_bytes") - F.col("at") - chunk, F.lit(0)).alias("after"),
         F.expr(f"substring(body, int(at + 1), {chunk})").alias("piece"),
         "text_sha256",
+        "raw",
     )
-    hashed = pieces.repartition("uid", "after").mapInArrow(shares, "uid bigint, doc_id bigint, n_bytes bigint, text_sha256 string, f1 bigint, f2 bigint")
-    summed = hashed.groupBy("uid", "doc_id", "n_bytes", "text_sha256").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2"))
+    hashed = pieces.repartition("uid", "after").mapInArrow(shares, "uid bigint, doc_id bigint, n_bytes bigint, text_sha256 string, raw bigint, f1 bigint, f2 bigint")
+    summed = hashed.groupBy("uid", "doc_id", "n_bytes", "text_sha256", "raw").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2"))
     value = F.shiftleft(F.col("f1") % moduli[0], 31).bitwiseOR(F.col("f2") % moduli[1])
-    return small.unionByName(summed.select("doc_id", value.alias("fp"), "n_bytes", "text_sha256"))
+    return small.unionByName(summed.select("doc_id", value.alias("fp"), "n_bytes", "text_sha256", "raw"))
 
 
 def _chunks(docs: DataFrame, groups: DataFrame, chunk: int, moduli: tuple[int, int]) -> DataFrame:
@@ -142,7 +144,7 @@ def _chunks(docs: DataFrame, groups: DataFrame, chunk: int, moduli: tuple[int, i
 
 
 def exact_duplicates(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE_BYTES, moduli: tuple[int, int] = MODULI) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256, n_bytes`` of each row."""
+    """``doc_id, keep_id, group_size, kept, text_sha256, n_bytes, raw`` of each row."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     slim = scratch.keep(fingerprints(docs, chunk, huge, moduli), "fingerprints").withColumn("part", F.lit(""))
     key = ["fp", "n_bytes", "part"]
@@ -159,14 +161,20 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK_BYTES, huge: int = HUGE
         slim = slim.drop("part").join(parts, ["fp", "n_bytes", "text_sha256"], "left").withColumn("part", F.coalesce("found", F.lit(""))).drop("found")
     kept = slim.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return slim.join(kept, key).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "raw"
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat a document one stays."""
-    duplicates = exact_duplicates(docs)
-    gone = duplicates.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    upper = "".join(map(chr, range(65, 91)))
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), upper, upper.lower()), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup-rows")
+    found = scratch.keep(exact_duplicates(docs), "duplicates")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (raw_hash() == F.col("_raw"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    kept = docs.join(scratch.keep(gone, "gone"), same, "left_anti")
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.collect_set("raw").alias("raws")).filter("n > 1")
+    again = scratch.keep(again.select(F.col("doc_id").alias("_id"), F.explode("raws").alias("_raw"), F.col("text_sha256").alias("_sha")), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same).dropDuplicates(["_id", "_sha"]).select(*[F.col(f"`{name}`") for name in docs.columns])
+    return kept.join(again, same, "left_anti").unionByName(once)

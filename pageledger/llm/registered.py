@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents")).drop("raw")
 
 
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageledger.llm.common import Scratch, text_bytes
+from pageledger.llm.common import Scratch, raw_hash, text_bytes
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Values that one key should hold on average; the number of key bits follows from it and the number of fingerprints.
@@ -57,15 +57,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp``: the unsigned fingerprint as the long with the same bits."""
+    """``doc_id, raw, fp``: a hash of the text, and the unsigned fingerprint as the long with the same bits."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(value.as_py(), words) for value in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view(np.int64))], ["doc_id", "raw", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body"))
-    return rows.mapInArrow(of, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body"), raw_hash().alias("raw"))
+    return rows.mapInArrow(of, "doc_id bigint, raw bigint, fp bigint")
 
 
 def _masks(bits: int, most: int, shift: int = 0) -> list[np.ndarray]:
@@ -156,7 +156,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row; a component is named by its smallest ``doc_id``."""
+    """``doc_id, raw, fp, component_id`` of each row; a component is named by its smallest ``doc_id``."""
     scratch = Scratch(docs.sparkSession, "simhash")
     slim = scratch.keep(fingerprints(docs, words), "fingerprints")
     named = scratch.keep(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -166,10 +166,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     member = named.join(roots, named["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(names, "root").select("fp", "component_id")
-    return slim.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return slim.join(by_fp, "fp").select("doc_id", "raw", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The documents that stay, with all their columns: of each component the smallest id."""
-    stays = near_duplicates(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    scratch = Scratch(docs.sparkSession, "simhash-rows")
+    gone = near_duplicates(docs, words, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (raw_hash() == F.col("_raw")), "left_anti")
