@@ -41,7 +41,7 @@ MATCH, Q = 50, 18
 #: Starts of strings that have the same least q-gram lie within this many bytes.
 REACH = MATCH - Q + 1
 #: Bytes of text in a batch, those hashed at once, and those of runs refined at once.
-BATCH_BYTES, HASH_BYTES, REFINED_BYTES = 16 << 20, 1 << 20, 4 << 20
+BATCH_BYTES, HASH_BYTES, REFINED_BYTES = 8 << 20, 1 << 20, 4 << 20
 #: Compressed bytes of text per partition of buckets, and uses of a bucket from which its strings are dealt one by one.
 PARTITION_BYTES, HOT_USES = 8 << 20, 200_000
 _LAST = np.iinfo(np.int64).max
@@ -330,7 +330,7 @@ def _cut(parts: int):
             starts = first[(size > bit) & ((mask >> np.uint64(bit)) & np.uint64(1) > 0)] + bit
             change[starts] += 1
             change[starts + MATCH] -= 1
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         inner = batch.offsets[:-1][batch.offsets[:-1] < len(gone)]
