@@ -116,7 +116,7 @@ def words_of(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    if "" not in parts[1:]:
+    if "" not in parts:
         words = [MARK + part for part in parts]
     else:  # marks that follow one another belong to the word after them
         words, marks = [], ""
