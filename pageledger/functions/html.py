@@ -4,8 +4,10 @@ The patterns walk a page once and never backtrack: groups repeat possessively, s
 unclosed one can exhaust the stack or the clock, and no tag is too large to read.  What an HTML parser does with
 an unclosed comment, script or tag -- it swallows the rest of the page -- is done here too.
 
-Known limits against a full DOM: a quote inside an unquoted attribute value opens a quoted region, and markup
-inside ``template``, ``svg`` or ``iframe`` is read like any other.
+A quote opens a value only right after an equals sign; elsewhere it belongs to a name or an unquoted value, and the next
+``>`` ends the tag.
+
+Known limit against a full DOM: markup inside ``template`` or ``svg`` is read like any other.
 """
 
 from __future__ import annotations
@@ -32,19 +34,22 @@ _SCRIPT = _raw_element("script")
 _STYLE = _raw_element("style")
 _TEXTAREA = _raw_element("textarea")
 _TITLE = _raw_element("title")
+_IFRAME = _raw_element("iframe")
 _NOSCRIPT = _raw_element("noscript")
-# the inside of a tag after its name, up to its closing bracket
-_TAG_REST = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>"
+# an attribute's name and value, and the inside of a tag after its name, up to its closing bracket
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)"
+_TAG_REST = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)[^>=]*+)*+>"
 _ANY_TAG = r"[a-z]" + _TAG_REST
 _MARKUP = r"[!?/][^>]*+>?"
 _UNCLOSED_TAG = r"[a-z].*+"
 
 # attribute name (the tag's own name comes first) and value with its quotes
-_ATTRIBUTE = r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+_ATTRIBUTE = rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+"
 
 _FIRST_H1 = (
     "(?is)\\A(?:[^<]++|<(?!h1[\\s/>])(?:"
-    + "|".join([_COMMENT, _SCRIPT, _STYLE, _TEXTAREA, _TITLE, _ANY_TAG, _UNCLOSED_TAG])
+    + "|".join([_COMMENT, _SCRIPT, _STYLE, _TEXTAREA, _TITLE, _IFRAME, _ANY_TAG, _UNCLOSED_TAG])
     + r"|))*+<h1(?:[\s/]" + _TAG_REST + r"|>)((?:[^<]++|<" + _COMMENT + r"|(?!</?h[1-6][\s/>])<)*+)"
 )
 _IS_TITLE = r"(?i)\Atitle[\s/>]"
@@ -56,7 +61,7 @@ RECORD_TAGS = ("a", "h1", "link", "meta")
 def _token_pattern(tags: Sequence[str] | None) -> str:
     """Start tags and titles, less their bracket, land in group 1; all that is skipped leaves the group empty."""
     wanted = _ANY_TAG if tags is None else "(?:" + "|".join(tags) + r")(?:[\s/]" + _TAG_REST + "|>)"
-    skipped = [_COMMENT, _SCRIPT, _STYLE, _TEXTAREA]
+    skipped = [_COMMENT, _SCRIPT, _STYLE, _TEXTAREA, _IFRAME]
     return "(?is)<(?:" + "|".join([*skipped, f"({_TITLE}|{wanted})", _ANY_TAG, _MARKUP, _UNCLOSED_TAG]) + ")"
 
 
@@ -134,10 +139,9 @@ def h1_count(tokens: Column) -> Column:
 @cache
 def _attribute_of(token: str, name: str) -> str:
     """SQL for one attribute of a token: skips the attributes before it and stops at the first of that name."""
-    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
-    gap, assign = r"[\s/\"'=]*+", r"\s*+=\s*+"
-    others = rf"(?:{gap}(?!{name}[\s=/>\"'])[^\s\"'<>/=]++(?:{assign}{value})?+)*+"
-    found = f"regexp_extract({token}, {quote(rf'(?is)^[^\s/>]++{others}{gap}{name}{assign}({value})')}, 1)"
+    gap, assign = r"[\s/]*+", r"\s*+=\s*+"
+    others = rf"(?:{gap}(?!{name}[\s=/>]){_NAME}(?:{assign}(?:{_VALUE})?+)?+)*+"
+    found = f"regexp_extract({token}, {quote(rf'(?is)^[^\s/>]++{others}{gap}{name}{assign}({_VALUE})')}, 1)"
     unquoted = """CASE WHEN left(v, 1) IN ('"', '\\'') THEN substring(v, 2, length(v) - 2) ELSE v END"""
     return bind(found, "v", bind(unquoted, "plain", decode_sql("plain", in_attribute=True)))
 

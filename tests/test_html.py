@@ -147,3 +147,23 @@ def test_hostile_pages_end_quickly(spark):
         assert rows[name].links == [], name
     assert rows["unclosed headings"].h1_count == 50_000
     assert rows["blanks"].title == "x"
+
+
+def test_quotes_open_only_after_an_equals_sign(spark):
+    pages = {
+        '<a href="/x"">x</a><p>mid</p><a href="/y">y</a><meta name="robots" content="noindex"><p>end</p>': ("xmidyend", ["/x", "/y"]),
+        '<p class="a"b">keep</p><a href=/z>z</a>': ("keepz", ["/z"]),
+        "<p title=it's>keep</p><a href='/q' id=it's>q</a>": ("keepq", ["/q"]),
+        '<a href= >e</a><a href=/u"v>w</a>': ("ew", ['/u"v']),
+        '<a href="open>never</a><p>gone': ("", []),
+    }
+    frame = spark.createDataFrame([(page,) for page in pages], "html string")
+    tags = html.page_tags(html.raw_tokens(F.col("html"), html.RECORD_TAGS))
+    for row in frame.select("html", html.visible_text(F.col("html")).alias("text"), tags["hrefs"].alias("hrefs")).collect():
+        assert (row.text, row.hrefs) == pages[row.html]
+
+
+def test_a_heading_inside_a_frame_does_not_count(spark):
+    frame = spark.createDataFrame([("<iframe src=x><h1>no</h1></iframe><h1>yes</h1>",)], "html string")
+    row = frame.select(html.h1_text(F.col("html")).alias("h1"), html.h1_count(html.raw_tokens(F.col("html"), html.RECORD_TAGS)).alias("n")).head()
+    assert (row.h1, row.n) == ("yes", 1)
