@@ -81,7 +81,16 @@ def escape_html(text: Column) -> Column:
 
 _DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _INFINITE = r"^[+-]?Infinity$"
-_RADIX = ((r"^0[xX][0-9a-fA-F]{1,15}$", 16), (r"^0[oO][0-7]{1,20}$", 8), (r"^0[bB][01]{1,62}$", 2))
+_RADIX = ((r"^0[xX][0-9a-fA-F]+$", 16), (r"^0[oO][0-7]+$", 8), (r"^0[bB][01]+$", 2))
+
+
+def _digits_value(digits: Column, radix: int) -> Column:
+    """Digits of any number as a double."""
+
+    def add(value: Column, digit: Column) -> Column:
+        return value * float(radix) + (F.instr(F.lit("0123456789abcdef"), digit) - 1).cast("double")
+
+    return F.aggregate(F.filter(F.split(F.lower(digits), ""), lambda digit: digit != ""), F.lit(0.0), add)
 
 
 def js_number(cell: Column) -> Column:
@@ -91,14 +100,14 @@ def js_number(cell: Column) -> Column:
         number = F.when(text.rlike(_DECIMAL), text.try_cast("double"))
         number = number.when(text.rlike(_INFINITE), F.replace(text, F.lit("+"), F.lit("")).try_cast("double"))
         for pattern, radix in _RADIX:
-            number = number.when(text.rlike(pattern), F.conv(F.substring(text, 3, 64), radix, 10).try_cast("double"))
+            number = number.when(text.rlike(pattern), _digits_value(F.substring(text, 3, 1 << 30), radix))
         return F.coalesce(number, F.lit(0.0))
 
     return let(js_trim(cell), convert, "double")
 
 
 def js_number_text(number: Column) -> Column:
-    """A double written without a needless fraction or exponent: 91.0 is '91', 1.5E-5 is '0.000015'."""
+    """A double as scripts write it: 91.0 is '91', 1.5E-5 is '0.000015', 1.0E21 is '1e+21'."""
 
     def write(value: Column) -> Column:
         size = F.abs(value)
@@ -108,6 +117,7 @@ def js_number_text(number: Column) -> Column:
         return (
             F.when(whole, value.try_cast("decimal(38,0)").cast("string"))
             .when(text.contains("E") & (size >= 1e-6) & (size < 1e18), plain)
+            .when(text.contains("E"), F.regexp_replace(F.regexp_replace(text, r"(?:\.0)?E", "e"), "e(?=[0-9])", "e+"))
             .otherwise(text)
         )
 

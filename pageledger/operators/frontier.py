@@ -40,16 +40,18 @@ def first_visit(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _level(fresh: DataFrame, depth: int, limit: int) -> DataFrame:
+def _level(fresh: DataFrame, depth: int, limit: int | None) -> DataFrame:
     """Write one level, numbered inside blocks of its queue order.
 
     What lies beyond the limit inside its block lies beyond it in the site too and is not kept.
     """
-    blocks = in_blocks(fresh, ["site"], ["parent_seq", "pos", "url"]).filter(F.col("local") <= limit)
+    blocks = in_blocks(fresh, ["site"], ["parent_seq", "pos", "url"])
+    if limit is not None:
+        blocks = blocks.filter(F.col("local") <= limit)
     return cut(blocks.select("site", "url", F.lit(depth).alias("depth"), "block", "local"), "crawl-level")
 
 
-def _numbered(levels: list[DataFrame], cached: DataFrame | None, limit: int) -> DataFrame:
+def _numbered(levels: list[DataFrame], cached: DataFrame | None, limit: int | None) -> DataFrame:
     """Visit numbers over all levels so far; numbers beyond the limit are dropped."""
     visited = reduce(DataFrame.unionByName, levels)
     numbered = add_offsets(visited, ["site"], ["depth", "block"], "local", "seq").drop("block", "local")
@@ -58,20 +60,20 @@ def _numbered(levels: list[DataFrame], cached: DataFrame | None, limit: int) ->
             "seq", F.col("seq") + F.coalesce(F.col("_cached"), F.lit(0))
         )
         numbered = numbered.drop("_cached")
-    return numbered.filter(F.col("seq") <= limit)
+    return numbered if limit is None else numbered.filter(F.col("seq") <= limit)
 
 
 def crawl(
     start: DataFrame,
     edges: DataFrame,
     depth: int = fixed.DEFAULT_DEPTH,
-    limit: int = fixed.DEFAULT_LIMIT,
+    limit: int | None = fixed.DEFAULT_LIMIT,
     follow_links: bool = True,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Visits ``(site, url, depth, seq)`` from ``start (site, url, ord)`` over ``edges (site, src, dst, pos)``.
 
-    ``limit`` counts pages per site, those of ``state (site, url)`` included.  Pages of the state are never visited
+    ``limit`` counts pages per site, those of ``state (site, url)`` included; None means all of them.  Pages of the state are never visited
     again and their links are not followed.  ``seq`` is the visit number within the site.
     """
     known = None

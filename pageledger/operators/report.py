@@ -66,7 +66,7 @@ def _score_cell(name: str) -> Column:
 
 
 def html_rows(records: DataFrame) -> DataFrame:
-    """One ``<tr>`` per page, numbered by ``seq``."""
+    """One ``<tr>`` per page, numbered by ``seq``; a record without a number keeps its row."""
 
     def text(name: str) -> Column:
         return escape_html(F.coalesce(F.col(name), F.lit("")))
@@ -75,7 +75,7 @@ def html_rows(records: DataFrame) -> DataFrame:
     inside, outside = fixed.HTML_SITEMAP_CLASSES
     listed = F.col("in_sitemap")
     cells = [
-        _cell(fixed.HTML_CELL_NOWRAP, F.col("seq").cast("string")),
+        _cell(fixed.HTML_CELL_NOWRAP, F.coalesce(F.col("seq").cast("string"), F.lit(""))),
         _cell(fixed.HTML_CELL_LINK, text("url")),
         _cell(fixed.HTML_CELL_PLAIN, text("title")),
         _cell(fixed.HTML_CELL_PLAIN, text("suggested_title")),

@@ -27,7 +27,7 @@ def _optional(head: str, value: Column, tail: str = "") -> Column:
 def prompt(
     records: DataFrame,
     keyword_list: DataFrame | None = None,
-    excluded: Sequence[str] = fixed.EXCLUDED_KEYWORDS,
+    excluded: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``prompt`` to records that carry ``html``.
 

@@ -31,8 +31,8 @@ def _conditions() -> dict[str, Column]:
         "pages_with_description_issues": F.col("description_score") != fixed.GOOD,
         "pages_with_h1_issues": F.col("h1_score") != fixed.GOOD,
         "pages_with_errors": F.col("error").isNotNull(),
-        "pages_in_sitemap": F.col("in_sitemap"),
-        "pages_not_in_sitemap": ~F.col("in_sitemap"),
+        "pages_in_sitemap": F.coalesce(F.col("in_sitemap"), F.lit(False)),
+        "pages_not_in_sitemap": ~F.coalesce(F.col("in_sitemap"), F.lit(False)),
     }
 
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pageledger.fixed_values import EXCLUDED_KEYWORDS
 from pageledger.operators import suggest
 from pageledger.operators.pages import extract_content
 
@@ -21,7 +22,8 @@ def prompts(spark, html, listed=None, **options):
 
 def test_prompt_parts(spark):
     tail = "\n---\nRespond in JSON with keys 'suggestedTitle', 'suggestedDescription', and 'suggestedKeywords'."
-    bare = prompts(spark, "<body>text</body>").head().prompt
+    assert "Dont suggest" not in prompts(spark, "<body>text</body>").head().prompt
+    bare = prompts(spark, "<body>text</body>", excluded=EXCLUDED_KEYWORDS).head().prompt
     assert bare == EXPECTED + "\nHTML:\ntext" + tail
     full = prompts(
         spark, '<title>T</title><meta name=description content="D"><meta name=keywords content="K"><body>' + "x" * 5000, "k1, k2", excluded=()
