@@ -15,6 +15,7 @@ from pageledger.session import filter_in_place
 
 _log = logging.getLogger(__name__)
 _FIELDS = ("title", "description", "keywords")
+_NO_NAMESPACE = "No tag namespace for this URL"
 
 
 @dataclass(frozen=True)
@@ -111,14 +112,25 @@ def _given(name: str) -> Column:
     return F.coalesce(F.col(name) != "", F.lit(False))
 
 
+def _row(name: Column, values: Column, error: Column) -> Column:
+    return F.struct(name.cast("string").alias("property"), values.cast("array<string>").alias("values"), error.cast("string").alias("error"))
+
+
+def _without_tag_id(target: Target) -> Column:
+    """True for a page whose wanted tags cannot be written, as its namespace has no id."""
+    if "keywords" not in wanted_fields(target) or target.properties["keywords"] != fixed.TAG_PROPERTY:
+        return F.lit(False)
+    return _given("suggested_keywords") & namespace_id(tag_namespace(F.col("url"), target)).isNull()
+
+
 def property_rows(records: DataFrame, target: Target) -> DataFrame:
     """Rows ``(site, url, path, property, values, action, error)``, one per property to write.
 
-    Narrow: every page makes its own rows.  A page that cannot be mapped yields one row with ``error``.
+    Narrow: every page makes its own rows.  A page that cannot be mapped yields one row with ``error``; a page whose tags
+    have no namespace keeps its other properties and gets a row with ``error`` for the tags.
     """
     wanted = wanted_fields(target)
     entries: list[tuple[str, Column, Column]] = []
-    missing_tag_id = F.lit(False)
     for name in _FIELDS:
         if name not in wanted:
             continue
@@ -127,18 +139,16 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
             entries.append((prop, given, F.array(f"suggested_{name}")))
             continue
         tags = split_tags(F.col("suggested_keywords"))
+        given = given & ~_without_tag_id(target)
         entries.append((prop + fixed.TYPE_HINT_SUFFIX, given, F.array(F.lit(fixed.TYPE_HINT))))
         if prop == fixed.TAG_PROPERTY:
-            namespace = tag_namespace(F.col("url"), target)
-            entries.append((prop, given, multi_value(tags, namespace)))
-            missing_tag_id = given & namespace_id(namespace).isNull()
+            entries.append((prop, given, multi_value(tags, tag_namespace(F.col("url"), target))))
         else:
             entries.append((prop, given, keyword_property(tags)))
     path = target_path(F.col("url"), target.site_path_prefix)
     error = (
         F.when(F.lit(not target.author_url), fixed.MISSING_AUTHOR_URL)
         .when(F.col("_path").isNull(), F.concat(F.lit("Invalid URL: "), F.coalesce(F.col("url"), F.lit(""))))
-        .when(missing_tag_id, "No tag namespace for this URL")
     )
     rows: list[Column] = []
     for place, (prop, given, values) in enumerate(entries):
@@ -146,16 +156,16 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
         for later_prop, later_given, _ in entries[place + 1 :]:
             if later_prop == prop:
                 given = given & ~later_given
-        present = F.struct(F.lit(prop).alias("property"), values.alias("values"))
-        rows.append(F.when(given, present))
-    kind = "array<struct<property:string,values:array<string>>>"
-    properties = F.filter(F.array(*rows), lambda row: row.isNotNull()).cast(kind) if rows else F.array().cast(kind)
-    failed = F.array(F.struct(F.lit(None).cast("string").alias("property"), F.array().cast("array<string>").alias("values")))
+        rows.append(F.when(given, _row(F.lit(prop), values, F.lit(None))))
+    rows.append(F.when(_without_tag_id(target), _row(F.lit(None), F.array(), F.lit(_NO_NAMESPACE))))
+    kind = "array<struct<property:string,values:array<string>,error:string>>"
+    properties = F.filter(F.array(*rows), lambda row: row.isNotNull()).cast(kind)
+    failed = F.array(_row(F.lit(None), F.array(), F.col("_error")))
     return (
         records.withColumn("_path", path)
-        .withColumn("error", error)
-        .withColumn("_rows", F.when(F.col("error").isNotNull(), failed.cast(kind)).otherwise(properties))
-        .select("site", "url", "_path", "error", F.inline_outer("_rows"))
+        .withColumn("_error", error)
+        .withColumn("_rows", F.when(F.col("_error").isNotNull(), failed.cast(kind)).otherwise(properties))
+        .select("site", "url", "_path", F.inline_outer("_rows"))
         .filter(F.col("property").isNotNull() | F.col("error").isNotNull())
         .select(
             "site",
@@ -179,11 +189,11 @@ def has_changes(target: Target) -> Column:
 
 
 def replicate_rows(records: DataFrame, target: Target) -> DataFrame:
-    """One replicate action per changed page, when the target asks for it."""
+    """One replicate action per changed page without a failed write, when the target asks for it."""
     path = target_path(F.col("url"), target.site_path_prefix)
     active = bool(target.replicate_after_update and target.author_url)
     return (
-        filter_in_place(records, F.lit(active) & has_changes(target))
+        filter_in_place(records, F.lit(active) & has_changes(target) & ~_without_tag_id(target))
         .withColumn("path", path)
         .filter(F.col("path").isNotNull())
         .select(
