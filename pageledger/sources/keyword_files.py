@@ -13,10 +13,17 @@ from pageledger import schemas
 from pageledger.operators.keywords import clean_keywords, detect_columns, metric
 
 
+#: Columns that are added to a file's own, whose names cannot be foreseen.
+_FILE, _ROW = "__keyword_file", "__keyword_row"
+
+
 def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header.  Only the first line of each file comes to the driver, one per file."""
-    first_line = F.substring_index(F.regexp_replace("value", r"\A\x{FEFF}", ""), "\n", 1)
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), first_line.alias("line"))
+    """Files by header.  Only the first line of each file comes to the driver, one per file; no file becomes one value."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    lines = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    lines = lines.select("file", F.regexp_replace("line", r"\A\x{FEFF}", "").alias("line"))
     groups: dict[tuple[str, ...], list[str]] = {}
     for row in lines.orderBy("file").collect():
         header = tuple(next(csv.reader([row["line"].rstrip("\r")]), ()))
@@ -26,7 +33,7 @@ def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...
 
 def _metrics(rows: DataFrame) -> DataFrame | None:
     """Metric rows of files that share a header; None when no column holds keywords."""
-    headers = [name for name in rows.columns if name not in ("file", "row_pos")]
+    headers = [name for name in rows.columns if name not in (_FILE, _ROW)]
     keyword, clicks, impressions = detect_columns(headers)
     if keyword is None:
         return None
@@ -36,9 +43,9 @@ def _metrics(rows: DataFrame) -> DataFrame | None:
 
     return clean_keywords(
         rows.select(
-            "file",
+            F.col(_FILE).alias("file"),
             F.lit(0).alias("sheet_pos"),
-            "row_pos",
+            F.col(_ROW).alias("row_pos"),
             F.col(quoted(keyword)).cast("string").alias("keyword"),
             metric(quoted(clicks)).alias("clicks"),
             metric(quoted(impressions)).alias("impressions"),
@@ -48,16 +55,19 @@ def _metrics(rows: DataFrame) -> DataFrame | None:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Add the file and a number that grows with the row's place in its file."""
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_pos"))
+    return rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.monotonically_increasing_id().alias(_ROW))
+
 
+def read_keyword_files(spark: SparkSession, paths: list[str], source_format: str = "csv", multi_line: bool = True) -> DataFrame:
+    """All keyword rows of the files, whatever their headers; files without a keyword column are skipped.
 
-def read_keyword_files(spark: SparkSession, paths: list[str], source_format: str = "csv") -> DataFrame:
-    """All keyword rows of the files, whatever their headers; files without a keyword column are skipped."""
+    Quoted cells may hold line breaks; a CSV file is then read by one task.  ``multi_line=False`` splits large files without such cells.
+    """
     if not paths:
         return spark.createDataFrame([], schemas.KEYWORD_METRICS)
     if source_format == "csv":
         groups = _header_groups(spark, paths).values()
-        tables = [_placed(spark.read.csv(files, header=True, escape='"', multiLine=False)) for files in groups]
+        tables = [_placed(spark.read.csv(files, header=True, escape='"', multiLine=multi_line)) for files in groups]
     else:
         tables = [_placed(spark.read.format(source_format).load(path)) for path in paths]
     found = [rows for rows in map(_metrics, tables) if rows is not None]
