@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,20 @@ def extract_content(pages: DataFrame) -> DataFrame:
     return scored.select(*rest, *[name for name, _ in PAGE_CONTENT_FIELDS], "links", "error")
 
 
+def one_snapshot(content: DataFrame, order: Sequence[str] = ("fetched_at",)) -> DataFrame:
+    """One row per ``(site, url)`` of content rows: a page that was read before one that failed, then the latest by the ``order``
+    columns that are there, then the greatest by a hash of its fields.
+
+    Slim rows only, and copies of a page are combined before the shuffle.
+    """
+    rest = [name for name in content.columns if name not in ("site", "url")]
+    latest = [F.col(name) for name in order if name in content.columns]
+    fields = [name for name, _ in PAGE_CONTENT_FIELDS]
+    place = F.struct(F.col("error").isNull(), *latest, F.xxhash64(*fields, "links"))
+    picked = content.groupBy("site", "url").agg(F.max_by(F.struct(*rest), place).alias("_one"))
+    return picked.select("site", "url", "_one.*")
+
+
 def link_edges(content: DataFrame) -> DataFrame:
     """One row per link of a fetched page: ``(site, src, dst, pos)``; duplicates and self-links stay.
 

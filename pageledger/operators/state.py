@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageledger.operators.frontier import minus
-from pageledger.operators.pages import extract_content
+from pageledger.operators.numbering import number_rows
+from pageledger.operators.pages import extract_content, one_snapshot
+from pageledger.session import cut
 
 
 def minus_state(candidates: DataFrame, state: DataFrame | None, force: bool = False) -> DataFrame:
@@ -21,10 +23,25 @@ def merge_results(state: DataFrame | None, new: DataFrame) -> DataFrame:
     return state.select(*[name for name in new.columns if name in state.columns]).unionByName(new, allowMissingColumns=True)
 
 
+def _not_recorded(pages: DataFrame, state: DataFrame) -> DataFrame:
+    """Pages whose address is not in the state.  Only addresses meet the state; the few that are new pick their pages."""
+    fresh = cut(minus(pages.select("site", "url").distinct(), state), "fresh")
+    fresh = fresh.select(F.col("site").alias("_site"), F.col("url").alias("_url"))
+    same = F.col("site").eqNullSafe(F.col("_site")) & F.col("url").eqNullSafe(F.col("_url"))
+    return pages.join(fresh, same, "left_semi")
+
+
 def audit_increment(pages: DataFrame, state: DataFrame | None, force: bool = False) -> DataFrame:
-    """Content records of the pages that are not in the state yet.
+    """Content records of the pages that are not in the state yet, one per address.
 
-    Extraction runs next to the scan and drops the page text, so the anti-join, which may have to shuffle both
-    sides against a long history, moves slim rows only.
+    Known pages are left out before any text is read.  ``seq`` follows on from the records of the site; without a listing no
+    page is in a sitemap.
     """
-    return minus_state(extract_content(pages), state, force).withColumn("crawl_date", F.current_timestamp())
+    earlier = None if force else state
+    if earlier is not None:
+        pages = _not_recorded(pages, earlier)
+    records = number_rows(one_snapshot(extract_content(pages)), ["site"], ["url"], "seq", "increment")
+    if earlier is not None:
+        known = earlier.groupBy("site").agg(F.count(F.lit(1)).alias("_known"))
+        records = records.join(known, "site", "left").withColumn("seq", F.col("seq") + F.coalesce("_known", F.lit(0))).drop("_known")
+    return records.withColumns({"in_sitemap": F.lit(False), "crawl_date": F.current_timestamp()})

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions.urls import hostname, with_scheme
 from pageledger.operators import frontier
-from pageledger.operators.pages import extract_content, fetch, link_edges
+from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot
 from pageledger.operators.sitemap import choose_sitemap, expand_index, with_sitemap
 from pageledger.operators.state import merge_results
+from pageledger.operators.suggest import attach_suggestions
 from pageledger.schemas import PAGE_METADATA
 from pageledger.session import cut
 
@@ -20,7 +21,7 @@ from pageledger.session import cut
 @dataclass(frozen=True)
 class AuditOptions:
     depth: int = fixed.DEFAULT_DEPTH
-    limit: int = fixed.DEFAULT_LIMIT
+    limit: int | None = fixed.DEFAULT_LIMIT
     follow_links: bool = True
     sitemap_only: bool = False
     single_page: bool = False
@@ -51,9 +52,12 @@ def site_audit(
     listing: DataFrame | None = None,
     options: AuditOptions = AuditOptions(),
     state: DataFrame | None = None,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
     """Page records in visit order: earlier ones from ``state``, then the pages reached now.
 
+    ``responses (url, content)`` are the model's answers to earlier requests; records carry the suggestions in them.
+
     Page texts are read once, in a map-only pass whose slim result is written out.  Edges, levels and the final
     join all work on that.
     """
@@ -62,7 +66,8 @@ def site_audit(
         listing = None
     if options.force:
         state = None
-    content = cut(extract_content(pages.select("site", "url", *[c for c in ("status", "html") if c in pages.columns])), "content")
+    taken = [name for name in ("status", "html", "fetched_at") if name in pages.columns]
+    content = cut(one_snapshot(extract_content(pages.select("site", "url", *taken))), "content")
     start = frontier.seeds(listing, bases, options.sitemap_only)
     visits = frontier.crawl(
         start, link_edges(content), options.depth, options.limit, options.follow_links, state
@@ -75,6 +80,8 @@ def site_audit(
         )
     else:
         records = with_sitemap(records, listing)
+    if responses is not None:
+        records = attach_suggestions(records, responses)
     names = set(records.columns)
     shaped = records.select(
         *[

@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
 from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, suggest
-from pageledger.operators.pages import extract_content, fetch, link_edges
+from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot
 from pageledger.operators.summary import audit_percentages, audit_summary
 from pageledger.plans import inputs
-from pageledger.plans.audit import AuditOptions, base_urls, site_audit
+from pageledger.plans.audit import AuditOptions, base_urls, site_audit, sitemap_listing
 from pageledger.session import checkpoint_dir, cut, filter_in_place
 from pageledger.sinks.tables import write_changes, write_json, write_state
-from pageledger.sources.tables import read_state, target_from_config
+from pageledger.sources.keyword_files import read_keyword_files
+from pageledger.sources.tables import (
+    read_pages,
+    read_responses,
+    read_robots,
+    read_sitemap_docs,
+    read_state,
+    read_tags,
+    read_text_docs,
+    target_from_config,
+)
 from pageledger.streaming.audit_stream import audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,7 +225,7 @@ def sitemap_attrs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _visits(spark: SparkSession, folder: str, options: AuditOptions, resume: bool = False) -> DataFrame:
     pages = inputs.site_pages(spark, folder)
-    content = cut(extract_content(pages.select("site", "url", "html")), "content")
+    content = cut(one_snapshot(extract_content(pages.select("site", "url", "html"))), "content")
     options = options.effective()
     listing = None if options.single_page else inputs.https_listing(pages)
     start = frontier.seeds(listing, inputs.base_pages(pages), options.sitemap_only)
@@ -225,7 +235,7 @@ def _visits(spark: SparkSession, folder: str, options: AuditOptions, resume: boo
 
 
 def crawl_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return _visits(spark, folder, AuditOptions(depth=2, limit=1_000_000))
+    return _visits(spark, folder, AuditOptions(depth=2, limit=None))
 
 
 def crawl_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,14 +258,14 @@ def crawl_no_links(spark: SparkSession, folder: str) -> DataFrame:
     return _visits(spark, folder, AuditOptions(follow_links=False))
 
 
-def _shop_crawl(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+def _shop_crawl(spark: SparkSession, folder: str, limit: int | None) -> DataFrame:
     start = frontier.seeds(None, inputs.shop_bases(spark, folder))
     edges = cut(inputs.shop_edges(spark, folder), "shop-edges")
     return frontier.crawl(start, edges, depth=3, limit=limit)
 
 
 def graph_bfs(spark: SparkSession, folder: str) -> DataFrame:
-    return _shop_crawl(spark, folder, 1 << 40)
+    return _shop_crawl(spark, folder, None)
 
 
 def graph_bfs_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -394,7 +404,7 @@ def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     pages = inputs.site_pages(spark, folder)
     content = extract_content(pages.withColumn("page_text", F.col("html"))).withColumnRenamed("page_text", "html")
     listed = keywords.keyword_list(keywords.top_keywords(inputs.part_keywords(spark, folder)))
-    return suggest.prompt(suggest.select_requests(content), listed)
+    return suggest.prompt(suggest.select_requests(content), listed, fixed.EXCLUDED_KEYWORDS)
 
 
 def suggest_requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -507,7 +517,7 @@ def stream_audit(spark: SparkSession, folder: str) -> DataFrame:
     run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = audit_stream(spark, f"{folder}/page[s].parquet", f"{run}/records", f"{run}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{run}/records").select("site", "url", "title", "h1_count")
+    return read_state(spark, f"{run}/records").select("site", "url", "title", "h1_count")
 
 
 def json_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -519,7 +529,142 @@ def json_report(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("url", "title", F.array_join("links", " ").alias("links"))
 
 
+# --- untidy input and whole paths ---------------------------------------------------------------------------------
+
+
+def untidy_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Product pages with stray quotes, quotes in unquoted values and a heading inside a frame."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    body = F.concat(
+        F.lit('<meta name="robots"" content="'), "p_type", F.lit("\"><p class=\"a\"b\">"), name, F.lit('</p><a href="/part/'), key,
+        F.lit("\"\">x</a><p title=it's>"), "p_brand", F.lit("</p><a href=/q\"v>y</a><iframe src=f><h1>no</h1></iframe><h1 id='h''>"), name, F.lit("</h1>"),
+    )
+    host = F.lit("parts.example.com")
+    pages = inputs.table(spark, folder, "part").select(
+        "p_partkey", host.alias("site"), F.concat(F.lit("https://parts.example.com/p/"), key).alias("url"), body.alias("html"), body.alias("kept")
+    )
+    content = extract_content(pages)
+    return content.select(
+        "p_partkey", "robots", "h1_text", "h1_count", F.array_join("links", " ").alias("links"), html.visible_text(F.col("kept")).alias("visible_text")
+    )
+
+
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page three times: as it is, later with a title in front, and latest of all but failed."""
+    pages = inputs.site_pages(spark, folder).select("site", "url", "html")
+    first = pages.select("*", F.lit(200).alias("status"), F.lit(1).alias("fetched_at"))
+    later = pages.select("site", "url", F.concat(F.lit("<title>later</title>"), "html").alias("html"), F.lit(200).alias("status"), F.lit(2).alias("fetched_at"))
+    failed = pages.select("*", F.lit(500).alias("status"), F.lit(3).alias("fetched_at"))
+    return first.unionByName(later).unionByName(failed)
+
+
+def _whole_listing(pages: DataFrame) -> DataFrame:
+    none = F.lit("").alias
+    return pages.select("site", F.lit("s").alias("doc_url"), F.col("page_id").alias("pos"), "url", none("lastmod"), none("priority"), none("changefreq"))
+
+
+def repeated_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The crawl and the increment take one snapshot of each address, the latest that was read."""
+    pages, snapshots = inputs.site_pages(spark, folder), _snapshots(spark, folder)
+    crawled = site_audit(snapshots, inputs.base_pages(pages), _whole_listing(pages), AuditOptions(depth=0, limit=None))
+    added = state.audit_increment(snapshots, None)
+    routes = [rows.select(F.lit(name).alias("route"), "url", "title", "error") for name, rows in (("crawl", crawled), ("increment", added))]
+    return routes[0].unionByName(routes[1])
+
+
+def increment_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts over a state that a stream and then a batch have written: every page is in or out of a sitemap, and has a number."""
+    run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    audit_stream(spark, f"{folder}/page[s].parquet", f"{run}/records", f"{run}/checkpoint", files=1).awaitTermination()
+    pages = inputs.site_pages(spark, folder)
+    write_state(state.audit_increment(pages, read_state(spark, f"{run}/records")), f"{run}/records")
+    stored = read_state(spark, f"{run}/records")
+    numbered = report.html_rows(stored).groupBy("site").agg(F.count("row_html").alias("rows"), F.countDistinct("seq").alias("numbers"))
+    counts = audit_summary(stored).select("site", "total_pages", "pages_in_sitemap", "pages_not_in_sitemap")
+    return counts.join(numbered, "site")
+
+
+def audited_from_robots(spark: SparkSession, folder: str) -> DataFrame:
+    """Robots files name sitemaps, these list the pages, and the audit visits them in their order."""
+    pages = inputs.site_pages(spark, folder)
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))), lambda e: e["entry"]), "")
+    docs = pages.groupBy("site").agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), body, F.lit("</urlset>")).alias("body"))
+    address = F.concat(F.lit("https://"), "site", F.lit("/map.xml"))
+    docs = docs.select("site", address.alias("doc_url"), "body")
+    robots = docs.select("site", F.concat(F.lit("User-agent: *\nSitemap: "), "doc_url", F.lit("\n")).alias("body"))
+    bases = inputs.base_pages(pages)
+    listing = sitemap_listing(bases.select("site", F.col("url").alias("base_url"), F.lit("").alias("sitemap")), robots, docs)
+    records = site_audit(pages, bases, listing, AuditOptions(depth=0, limit=None))
+    return records.select("site", "seq", "url", "in_sitemap")
+
+
+def audit_with_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of the model go into the records and from there into the change set."""
+    pages = inputs.site_pages(spark, folder)
+    answer = F.struct(
+        F.concat(F.lit("Title "), "page_id").alias("suggestedTitle"), F.lit("").alias("suggestedDescription"), F.lit("Red, Blue").alias("suggestedKeywords")
+    )
+    responses = pages.select("url", F.to_json(answer).alias("content"))
+    records = site_audit(pages, inputs.base_pages(pages), _whole_listing(pages), AuditOptions(depth=0, limit=None), responses=responses)
+    changes = changeset.change_set(records, changeset.Target(author_url="https://author.example.com"))
+    return changes.select("site", "url", "property", F.array_join("values", "|").alias("values"), "action")
+
+
+def keyword_export_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword files of two headers, one with a column named File, with line breaks inside quoted cells."""
+    path = f"{checkpoint_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    part = inputs.table(spark, folder, "part")
+    broken = F.concat("p_name", F.lit("\n"), "p_brand")
+    one = part.select(F.lit("f").alias("File"), broken.alias("Search Term"), F.col("p_size").alias("Clicks"))
+    two = part.select(F.col("p_size").alias("Impressions"), F.concat("p_brand", F.lit(', "big"')).alias("Keyword"))
+    for name, rows in (("one", one), ("two", two)):
+        rows.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    found = read_keyword_files(spark, [f"{path}/one", f"{path}/two"])
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+
+
+def source_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every input table written in its stored form and read by its reader: rows and characters."""
+    path = f"{checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    pages = inputs.site_pages(spark, folder)
+    robots = pages.select(F.col("page_id").cast("string").alias("site"), F.col("url").alias("body"))
+    stored = {
+        "pages": pages.select("site", "url", "html"),
+        "docs": _xml_documents(spark, folder),
+        "robots": robots,
+        "tags": pages.select(F.lit("/content/cq:tags/en").alias("namespace"), F.col("url").alias("node")),
+    }
+    for name, rows in stored.items():
+        rows.write.parquet(f"{path}/{name}")
+    inputs.document_responses(spark, folder).write.json(f"{path}/responses")
+    robots.select("body").repartition(1).write.text(f"{path}/texts")
+    read = {
+        "pages": (read_pages(spark, f"{path}/pages"), "html"),
+        "docs": (read_sitemap_docs(spark, f"{path}/docs"), "doc_url"),
+        "robots": (read_robots(spark, f"{path}/robots"), "body"),
+        "tags": (read_tags(spark, f"{path}/tags"), "node"),
+        "responses": (read_responses(spark, f"{path}/responses"), "url"),
+        "texts": (read_text_docs(spark, f"{path}/texts"), "body"),
+    }
+    counts = [
+        rows.select(F.lit(name).alias("source"), F.col(column)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(column)).alias("chars"))
+        for name, (rows, column) in read.items()
+    ]
+    whole = counts[0]
+    for more in counts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 QUERIES: dict[str, Query] = {
+    "untidy_pages": untidy_pages,
+    "repeated_snapshots": repeated_snapshots,
+    "increment_summary": increment_summary,
+    "audited_from_robots": audited_from_robots,
+    "audit_with_suggestions": audit_with_suggestions,
+    "keyword_export_files": keyword_export_files,
+    "source_tables": source_tables,
     "title_scores": title_scores,
     "h1_scores": h1_scores,
     "visible_text": visible_text,

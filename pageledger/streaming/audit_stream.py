@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from pageledger.operators.pages import extract_content, with_site
+from pageledger.operators.pages import with_site
+from pageledger.operators.state import audit_increment
 from pageledger.schemas import PAGES
+from pageledger.sinks.tables import write_state
+from pageledger.sources.tables import read_state
 
+#: Files that one batch takes, so that progress is saved between batches of bounded size.
+FILES_PER_BATCH = 1_000
 
-def audit_stream_records(pages: DataFrame) -> DataFrame:
-    """Content records of a page stream, each URL once.
 
-    Records are made before the duplicate check, so page texts are not shuffled; the state store keeps URLs only.
-    It has no watermark, since a page seen once is never taken again: it grows with the number of distinct URLs.
-    Use the RocksDB state store for long streams, or the batch increment for very long histories.
+def audit_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Take all files not yet processed at ``source``, add the records of new addresses to the state at ``target``, and stop.
+
+    Each batch is a batch increment against the stored state, so stream and batch runs share one state, nothing is held in memory
+    between batches, and a batch that is run again finds its addresses recorded.
     """
-    return extract_content(with_site(pages.drop("site"))).dropDuplicates(["site", "url"])
-
-
-def audit_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Take all files not yet processed at ``source``, append their records to ``target``, and stop."""
-    pages = spark.readStream.schema(PAGES).parquet(source)
-    return (
-        audit_stream_records(pages)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
-    )
+
+    def take(batch: DataFrame, _: int) -> None:
+        write_state(audit_increment(with_site(batch.drop("site")), read_state(batch.sparkSession, target)), target)
+
+    pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(source)
+    return pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
