@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
-from pageledger.operators.numbering import add_offsets, in_blocks
+from pageledger.operators.numbering import block_starts, in_blocks
 from pageledger.operators.sitemap import first_listing
 from pageledger.session import cut
 
@@ -33,34 +33,46 @@ def minus(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known.select("site", "url"), ["site", "url"], "left_anti")
 
 
-def first_visit(candidates: DataFrame) -> DataFrame:
-    """First queue position per URL.  A minimum, so copies of a hot URL are combined before the shuffle."""
-    return candidates.groupBy("site", "url").agg(F.min(F.struct("parent_seq", "pos")).alias("_first")).select(
-        "site", "url", "_first.*"
-    )
+#: Links of a page that one number can tell apart, when it also holds the parent's place.
+_PLACES = 1 << 32
 
 
-def _level(fresh: DataFrame, depth: int, limit: int | None) -> DataFrame:
-    """Write one level, numbered inside blocks of its queue order.
+def first_visit(candidates: DataFrame) -> DataFrame:
+    """First queue position per URL, from 0 for ``pos``.
 
-    What lies beyond the limit inside its block lies beyond it in the site too and is not kept.
+    Parent and link place make one number, so the minimum is a hash aggregate and copies of a hot URL are combined before the shuffle.
     """
-    blocks = in_blocks(fresh, ["site"], ["parent_seq", "pos", "url"])
-    if limit is not None:
-        blocks = blocks.filter(F.col("local") <= limit)
-    return cut(blocks.select("site", "url", F.lit(depth).alias("depth"), "block", "local"), "crawl-level")
+    place = F.col("parent_seq").cast("decimal(38,0)") * F.lit(_PLACES) + F.col("pos")
+    first = candidates.groupBy("site", "url").agg(F.min(place.cast("decimal(38,0)")).alias("_first"))
+    parent = F.floor(F.col("_first") / F.lit(_PLACES).cast("decimal(38,0)"))
+    return first.select("site", "url", parent.cast("bigint").alias("parent_seq"), F.pmod("_first", F.lit(_PLACES)).cast("bigint").alias("pos"))
 
 
-def _numbered(levels: list[DataFrame], cached: DataFrame | None, limit: int | None) -> DataFrame:
-    """Visit numbers over all levels so far; numbers beyond the limit are dropped."""
-    visited = reduce(DataFrame.unionByName, levels)
-    numbered = add_offsets(visited, ["site"], ["depth", "block"], "local", "seq").drop("block", "local")
-    if cached is not None:
-        numbered = numbered.join(cached, "site", "left").withColumn(
-            "seq", F.col("seq") + F.coalesce(F.col("_cached"), F.lit(0))
-        )
-        numbered = numbered.drop("_cached")
-    return numbered if limit is None else numbered.filter(F.col("seq") <= limit)
+def _level(fresh: DataFrame, depth: int, before: DataFrame | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """One level, written and numbered, and the visits per site ``(site, _visited)`` up to it.
+
+    The visits before it enter through the block starts, one row per site and block, so no level is joined on its site.  ``_visited`` in
+    the level's rows tells sites that are full.
+    """
+    blocks = in_blocks(fresh.withColumn("depth", F.lit(depth)), ["site"], ["parent_seq", "pos", "url"])
+    blocks = cut(blocks.select("site", "url", "depth", "block", "local"), "crawl-level")
+    starts = block_starts(blocks, ["site"])
+    if before is None:
+        starts = starts.withColumn("_visited", F.col("_total"))
+    else:
+        starts = starts.join(before.withColumnRenamed("_visited", "_before"), "site", "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
+        starts = starts.withColumns({"_start": F.col("_start") + F.col("_before"), "_visited": F.col("_total") + F.col("_before")})
+    rows = blocks.join(starts.select("site", "block", "_start", "_visited"), ["site", "block"])
+    rows = rows.select("site", "url", "depth", (F.col("_start") + F.col("local")).alias("seq"), "_visited")
+    counts = starts.select("site", "_visited").distinct()
+    if before is not None:
+        counts = counts.unionByName(before).groupBy("site").agg(F.max("_visited").alias("_visited"))
+    return rows if limit is None else rows.filter(F.col("seq") <= limit), cut(counts, "crawl-counts")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Edges ``(site, src, dst, pos)`` as one row per page, ``(site, src, links array<struct<pos, url>>)``."""
+    return edges.groupBy("site", "src").agg(F.collect_list(F.struct("pos", F.col("dst").alias("url"))).alias("links"))
 
 
 def crawl(
@@ -71,30 +83,34 @@ def crawl(
     follow_links: bool = True,
     state: DataFrame | None = None,
 ) -> DataFrame:
-    """Visits ``(site, url, depth, seq)`` from ``start (site, url, ord)`` over ``edges (site, src, dst, pos)``.
+    """Visits ``(site, url, depth, seq)`` from ``start (site, url, ord)`` over ``edges (site, src, dst, pos)``, or over pages with their
+    links, ``(site, src, links array<struct<pos, url>>)``.
 
     ``limit`` counts pages per site, those of ``state (site, url)`` included; None means all of them.  Pages of the state are never visited
     again and their links are not followed.  ``seq`` is the visit number within the site.
     """
-    known = None
-    cached = None
+    known = before = None
     if state is not None:
         known = state.select("site", "url")
-        cached = known.groupBy("site").agg(F.count(F.lit(1)).alias("_cached"))
+        before = cut(known.groupBy("site").agg(F.count(F.lit(1)).alias("_visited")), "crawl-counts")
+    # one slim row per page meets the parents; its links are spread afterwards
+    pages = edges if "links" in edges.columns else cut(adjacency(edges), "crawl-links")
     first = start.select("site", "url", F.col("ord").alias("parent_seq"), F.lit(0).alias("pos"))
     first = first_visit(first)
     if known is not None:
         first = minus(first, known)
-    levels = [_level(first, 0, limit)]
+    rows, before = _level(first, 0, before, limit)
+    levels = [rows]
     for level in range(1, depth + 1 if follow_links else 1):
-        parents = _numbered(levels, cached, limit).filter(F.col("depth") == level - 1)
-        reached = parents.select("site", F.col("url").alias("src"), F.col("seq").alias("parent_seq")).join(
-            edges.select("site", "src", F.col("dst").alias("url"), "pos"), ["site", "src"]
-        )
+        parents = levels[-1]
+        if limit is not None:
+            parents = parents.filter(F.col("_visited") < limit)
+        parents = parents.select("site", F.col("url").alias("src"), F.col("seq").alias("parent_seq"))
+        met = parents.join(pages, ["site", "src"]).select("site", "parent_seq", F.explode_outer("links").alias("link"))
+        reached = met.filter(F.col("link").isNotNull()).select("site", "parent_seq", "link.url", "link.pos")
         visited = [taken.select("site", "url") for taken in (levels if known is None else [known, *levels])]
-        fresh = minus(first_visit(reached), reduce(DataFrame.unionByName, visited))
-        following = _level(fresh, level, limit)
-        if following.isEmpty():
+        rows, before = _level(minus(first_visit(reached), reduce(DataFrame.unionByName, visited)), level, before, limit)
+        if rows.isEmpty():
             break
-        levels.append(following)
-    return _numbered(levels, cached, limit)
+        levels.append(rows)
+    return reduce(DataFrame.unionByName, levels).drop("_visited")

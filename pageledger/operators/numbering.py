@@ -12,30 +12,31 @@ from pageledger.session import cut
 
 
 def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Add ``block`` and ``local``, the row's number inside its key and block.
+    """Add ``block`` and ``local``, a number that is dense inside the row's key and block.
 
     Blocks are range partitions: they follow the order and are of even size however the rows spread over keys,
-    parents or documents.  The order must be total.  Write the result before using it twice, as another run may
-    draw other block borders.
+    parents or documents.  Rows are sorted where they lie, so this is one shuffle.  The order must be total.  Write the result before
+    using it twice, as another run may draw other block borders.
     """
-    ranged = df.repartitionByRange(*keys, *order).withColumn("block", F.spark_partition_id())
-    inside = W.partitionBy(*keys, "block").orderBy(*order)
-    return ranged.withColumn("local", F.row_number().over(inside).cast("bigint"))
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return ranged.withColumn("block", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id())
 
 
-def add_offsets(numbered: DataFrame, keys: Sequence[str], blocks: Sequence[str], local: str, out: str) -> DataFrame:
-    """Turn numbers that are dense inside a block into numbers that are dense inside the key.
-
-    ``blocks`` are columns that order the blocks of one key.  Only one row per block is summed up per key, and the
-    block table is joined back, so a key with a third of all rows is never one task's work.
-    """
-    sizes = numbered.groupBy(*keys, *blocks).agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy(*keys).orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*keys, *blocks, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    joined = numbered.join(starts, [*keys, *blocks])
-    return joined.withColumn(out, F.col("_start") + F.col(local)).drop("_start")
+def block_starts(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and block: ``_start``, which makes ``local`` a number inside the key, and ``_total``, the key's rows."""
+    sizes = numbered.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_size"), F.min("local").alias("_least"))
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_least") + 1
+    return sizes.select(*keys, "block", start.alias("_start"), F.sum("_size").over(whole).alias("_total"))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, name: str) -> DataFrame:
-    """Number the rows of each key from 1 in the given total order."""
-    return add_offsets(cut(in_blocks(df, keys, order), name), keys, ["block"], "local", out).drop("block", "local")
+    """Number the rows of each key from 1 in the given total order.
+
+    Only one row per block is summed up per key, and the block table is joined back, so a key with a third of all rows is never one
+    task's work.
+    """
+    blocks = cut(in_blocks(df, keys, order), name)
+    joined = blocks.join(block_starts(blocks, keys), [*keys, "block"])
+    return joined.withColumn(out, F.col("_start") + F.col("local")).drop("_start", "_total", "block", "local")

@@ -111,6 +111,12 @@ def link_edges(content: DataFrame) -> DataFrame:
     return exploded.filter(F.col("dst").isNotNull()).select("site", "src", "dst", "pos")
 
 
+def page_links(content: DataFrame) -> DataFrame:
+    """One row per fetched page with links: ``(site, src, links array<struct<pos, url>>)``, as a crawl follows them."""
+    placed = F.transform("links", lambda url, pos: F.struct(pos.alias("pos"), url.alias("url")))
+    return content.filter(F.size("links") > 0).select("site", F.col("url").alias("src"), placed.alias("links"))
+
+
 def error_defaults() -> dict[str, Column]:
     """Field values of a record whose page could not be read."""
     empty = {

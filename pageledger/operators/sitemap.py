@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageledger.functions import text, urls
-from pageledger.operators.numbering import number_rows
 from pageledger.session import cut
 
 _ROBOTS_LINE = rf"(?im)^sitemap:{text.WIDE_SPACE_CLASS}*(.+)$"
@@ -53,12 +53,13 @@ def _entries(docs: DataFrame, kind: str, field: str) -> DataFrame:
     options = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
     parsed = wanted.select(*keep, F.from_xml(text.js_trim(F.col("body")), _DOCUMENT, options).alias("_doc"))
     sound = F.when(F.col("_doc._corrupt_record").isNull(), F.col(f"_doc.{field}"))
-    exploded = parsed.select(*keep, F.posexplode_outer(sound).alias("pos", "entry"))
-    return exploded.filter(F.coalesce(F.col("entry.loc"), F.lit("")) != "")
+    named = F.filter(sound, lambda entry: F.coalesce(entry["loc"], F.lit("")) != "")
+    exploded = parsed.select(*keep, F.posexplode_outer(named).alias("pos", "entry"))
+    return exploded.filter(F.col("entry").isNotNull())
 
 
 def parse_urlset(docs: DataFrame) -> DataFrame:
-    """Entries of ``urlset`` documents, with their position in the document; entries without ``loc`` are dropped."""
+    """Entries of ``urlset`` documents, numbered in the document; entries without ``loc`` are dropped."""
     keep = [name for name in docs.columns if name != "body"]
     return _entries(docs, "urlset", "url").select(
         *keep,
@@ -96,11 +97,13 @@ def expand_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = cut(better.drop("_known"), "sitemap-level")
         merged = best.unionByName(frontier).groupBy("site", "doc_url").agg(F.min("path").alias("path"))
         best = cut(merged, "sitemap-docs")
-    entries = parse_urlset(docs).join(best, ["site", "doc_url"]).withColumnRenamed("pos", "_entry_pos")
-    numbered = number_rows(entries, ["site"], ["path", "_entry_pos"], "_number", "sitemap-urls")
-    return numbered.select(
-        "site", "doc_url", (F.col("_number") - 1).alias("pos"), "url", "lastmod", "priority", "changefreq"
-    )
+    # Entries are numbered in their document already; one row per document gives the place of its first entry in the site.
+    entries = cut(parse_urlset(docs).join(best.select("site", "doc_url"), ["site", "doc_url"], "left_semi"), "sitemap-urls")
+    sizes = entries.groupBy("site", "doc_url").agg(F.count(F.lit(1)).alias("_size")).join(best, ["site", "doc_url"])
+    before = W.partitionBy("site").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("site", "doc_url", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    numbered = entries.join(starts, ["site", "doc_url"]).withColumn("pos", F.col("_start") + F.col("pos"))
+    return numbered.select("site", "doc_url", "pos", "url", "lastmod", "priority", "changefreq")
 
 
 def first_listing(listing: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions.urls import hostname, with_scheme
 from pageledger.operators import frontier
-from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot
+from pageledger.operators.pages import extract_content, fetch, one_snapshot, page_links
 from pageledger.operators.sitemap import choose_sitemap, expand_index, with_sitemap
 from pageledger.operators.state import merge_results
 from pageledger.operators.suggest import attach_suggestions
@@ -70,7 +70,7 @@ def site_audit(
     content = cut(one_snapshot(extract_content(pages.select("site", "url", *taken))), "content")
     start = frontier.seeds(listing, bases, options.sitemap_only)
     visits = frontier.crawl(
-        start, link_edges(content), options.depth, options.limit, options.follow_links, state
+        start, page_links(content), options.depth, options.limit, options.follow_links, state
     )
     records = fetch(visits, content)
     if listing is None:

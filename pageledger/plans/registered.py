@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
 from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, suggest
-from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot
+from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot, page_links
 from pageledger.operators.summary import audit_percentages, audit_summary
 from pageledger.plans import inputs
 from pageledger.plans.audit import AuditOptions, base_urls, site_audit, sitemap_listing
@@ -230,7 +230,7 @@ def _visits(spark: SparkSession, folder: str, options: AuditOptions, resume: boo
     listing = None if options.single_page else inputs.https_listing(pages)
     start = frontier.seeds(listing, inputs.base_pages(pages), options.sitemap_only)
     earlier = inputs.earlier_pages(pages) if resume else None
-    visits = frontier.crawl(start, link_edges(content), options.depth, options.limit, options.follow_links, earlier)
+    visits = frontier.crawl(start, page_links(content), options.depth, options.limit, options.follow_links, earlier)
     return fetch(visits, content).select("site", "url", "depth", "seq", "title", "error")
 
 
@@ -260,8 +260,7 @@ def crawl_no_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def _shop_crawl(spark: SparkSession, folder: str, limit: int | None) -> DataFrame:
     start = frontier.seeds(None, inputs.shop_bases(spark, folder))
-    edges = cut(inputs.shop_edges(spark, folder), "shop-edges")
-    return frontier.crawl(start, edges, depth=3, limit=limit)
+    return frontier.crawl(start, inputs.shop_edges(spark, folder), depth=3, limit=limit)
 
 
 def graph_bfs(spark: SparkSession, folder: str) -> DataFrame:
