@@ -41,9 +41,9 @@ MATCH, Q = 50, 18
 #: Starts of strings that have the same least q-gram lie within this many bytes.
 REACH = MATCH - Q + 1
 #: Bytes of text in a batch, those hashed at once, and those of runs refined at once.
-BATCH_BYTES, HASH_BYTES, REFINED_BYTES = 8 << 20, 1 << 20, 4 << 20
+BATCH_BYTES, HASH_BYTES, REFINED_BYTES = 6 << 20, 1 << 18, 1 << 19
 #: Compressed bytes of text per partition of buckets, and uses of a bucket from which its strings are dealt one by one.
-PARTITION_BYTES, HOT_USES = 8 << 20, 200_000
+PARTITION_BYTES, HOT_USES = 2 << 20, 20_000
 _LAST = np.iinfo(np.int64).max
 _ALL = np.uint64((1 << 64) - 1)
 
