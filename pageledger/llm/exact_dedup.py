@@ -169,12 +169,12 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat an id and a text one stays."""
     scratch = Scratch(docs.sparkSession, "exact-dedup-rows")
     found = scratch.keep(exact_duplicates(docs), "duplicates")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (raw_hash() == F.col("_raw"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__dedup_id")) & (raw_hash() == F.col("__dedup_raw"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__dedup_id"), F.col("raw").alias("__dedup_raw")).distinct()
     kept = docs.join(scratch.keep(gone, "gone"), same, "left_anti")
     again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.collect_set("raw").alias("raws")).filter("n > 1")
-    again = scratch.keep(again.select(F.col("doc_id").alias("_id"), F.explode("raws").alias("_raw"), F.col("text_sha256").alias("_sha")), "again")
+    again = scratch.keep(again.select(F.col("doc_id").alias("__dedup_id"), F.explode("raws").alias("__dedup_raw"), F.col("text_sha256").alias("__dedup_sha")), "again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, same).dropDuplicates(["_id", "_sha"]).select(*[F.col(f"`{name}`") for name in docs.columns])
+    once = kept.join(again, same).dropDuplicates(["__dedup_id", "__dedup_sha"]).select(*[F.col(f"`{name}`") for name in docs.columns])
     return kept.join(again, same, "left_anti").unionByName(once)

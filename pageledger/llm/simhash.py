@@ -173,5 +173,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     """The documents that stay, with all their columns: of each component the smallest id."""
     scratch = Scratch(docs.sparkSession, "simhash-rows")
     gone = near_duplicates(docs, words, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = scratch.keep(gone.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (raw_hash() == F.col("_raw")), "left_anti")
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("__simhash_id"), F.col("raw").alias("__simhash_raw")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__simhash_id")) & (raw_hash() == F.col("__simhash_raw")), "left_anti")
