@@ -126,6 +126,14 @@ def shop_bases(spark: SparkSession, folder: str) -> DataFrame:
     return first.select(site.alias("site"), url.alias("url"))
 
 
+def shop_finished(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of the finished orders."""
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    done = table(spark, folder, "orders").filter("o_orderstatus = 'F'").join(customers, "o_custkey")
+    site = _shop_host("c_nationkey")
+    return done.select(site.alias("site"), F.concat(F.lit("https://"), site, F.lit("/order/"), F.col("o_orderkey").cast("string")).alias("url"))
+
+
 def part_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword metrics: part names with the clicks and views of their events; parts without events have none."""
     events = table(spark, folder, "events").select(

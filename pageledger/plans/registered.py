@@ -271,6 +271,12 @@ def graph_bfs_limit(spark: SparkSession, folder: str) -> DataFrame:
     return _shop_crawl(spark, folder, 100)
 
 
+def graph_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """The shop graph with all finished orders recorded by an earlier run: they are neither visited nor followed."""
+    start = frontier.seeds(None, inputs.shop_bases(spark, folder))
+    return frontier.crawl(start, inputs.shop_edges(spark, folder), depth=3, limit=None, state=inputs.shop_finished(spark, folder))
+
+
 def site_audit_records(spark: SparkSession, folder: str) -> DataFrame:
     """The whole audit: crawl, content, sitemap attributes, error records."""
     pages = inputs.site_pages(spark, folder)
@@ -691,6 +697,7 @@ QUERIES: dict[str, Query] = {
     "crawl_no_links": crawl_no_links,
     "graph_bfs": graph_bfs,
     "graph_bfs_limit": graph_bfs_limit,
+    "graph_resume": graph_resume,
     "site_audit_records": site_audit_records,
     "audit_summary": audit_summary_query,
     "audit_percentages": audit_percentages_query,
