@@ -92,14 +92,19 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers in the least width that holds them, compressed."""
+    """Whole numbers in the least number of bytes that holds them, byte place by byte place, compressed."""
     top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(values.astype(f"<u{width}").tobytes())
+    width = max(1, -(-top.bit_length() // 8))
+    places = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(places).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    width = next(w for w in (1, 2, 4, 8) if w >= data[0])
+    values = np.zeros((places.shape[1], width), np.uint8)
+    values[:, : data[0]] = places.T
+    return values.view(f"<u{width}").ravel()
 
 
 @lru_cache(2)

@@ -34,7 +34,7 @@ from pageledger.llm.common import Scratch, buffers, freed_shuffles, mixed, packe
 #: Counts up to this are discounted.
 K = 5
 #: Bytes of text in a batch, and those hashed at once.
-BATCH_BYTES, HASH_BYTES = 16 << 20, 2 << 20
+BATCH_BYTES, HASH_BYTES = 6 << 20, 1 << 18
 #: Distinct words or pairs that a partition should get on average.
 PARTITION_WORDS = 1 << 18
 _END = np.uint64(0x243F6A8885A308D3)
@@ -171,19 +171,16 @@ def _pairs(model: Words, parts: int, hot: float, n_train: int, base: tuple[float
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.column("batch")[0].as_py()
-        words = np.frombuffer(left.column("words")[0].as_py(), np.uint64)
         n_tokens = unpacked(left.column("n_tokens")[0].as_py()).astype(np.int64)
         train = np.array(left.column("train")[0].as_py(), bool)
         place = unpacked(left.column("place")[0].as_py()).astype(np.int64)
-        ids, counts = np.empty(len(words) + 1, np.uint64), np.empty(len(words) + 1, np.int64)
-        ids[-1], counts[-1] = start, n_train
         answers = sorted(zip(*(right.column(name).to_pylist() for name in ("part", "ids", "counts"))))
-        ids[:-1] = np.concatenate([unpacked(x) for _, x, _ in answers])
-        counts[:-1] = np.concatenate([unpacked(x) for _, _, x in answers])
+        ids = np.concatenate([*(unpacked(x).astype(np.uint64) for _, x, _ in answers), [start]])
+        counts = np.concatenate([*(unpacked(x).astype(np.int64) for _, _, x in answers), [n_train]])
         doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
         before = np.empty(len(place), np.int64)
         before[1:] = place[:-1]
-        before[np.cumsum(n_tokens) - n_tokens] = len(words)
+        before[np.cumsum(n_tokens) - n_tokens] = len(ids) - 1
         rows = []
         if scoring:
             own = np.log10((counts[place] + 0.5) / base[0]) if base[0] > 0 else np.zeros(len(place))
@@ -222,8 +219,8 @@ def _pairs(model: Words, parts: int, hot: float, n_train: int, base: tuple[float
 
 _PAIRS = pa.schema([("part", pa.int64()), ("batch", pa.int64()), *((name, pa.binary()) for name in ("contexts", "totals", "sizes", "words", "counts", "uses", "docs", "sums"))])
 _PAIR_SQL = "part bigint, batch bigint, contexts binary, totals binary, sizes binary, words binary, counts binary, uses binary, docs binary, sums binary"
-_MODEL = pa.schema([("part", pa.int64()), ("contexts", pa.binary()), ("words", pa.binary()), ("uses", pa.binary()), ("hot", pa.int64()), ("sums", pa.list_(pa.float64()))])
-_MODEL_SQL = "part bigint, contexts binary, words binary, uses binary, hot bigint, sums array<double>"
+_MODEL = pa.schema([("part", pa.int64()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("uses", pa.binary()), ("hot", pa.int64()), ("sums", pa.list_(pa.float64()))])
+_MODEL_SQL = "part bigint, contexts binary, sizes binary, words binary, uses binary, hot bigint, sums array<double>"
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +246,9 @@ def _count_pairs(model: Words, hot: float):
         uses = np.add.reduceat(uses, first)
         context, total, word, count = context[first], total[first], word[first], count[first]
         part = rows[0]["part"]
-        made = [{"part": part, "contexts": packed(context), "words": packed(word), "uses": packed(uses), "hot": None, "sums": None}]
+        heads, begins = np.unique(context, return_index=True)
+        sizes = np.diff(np.append(begins, len(context)))
+        made = [{"part": part, "contexts": packed(heads), "sizes": packed(sizes), "words": packed(word), "uses": packed(uses), "hot": None, "sums": None}]
         made.append({"part": None, "hot": None, "sums": np.bincount(uses[uses <= K + 1], minlength=K + 2)[1:].astype(float).tolist()})
         many = np.flatnonzero(total >= hot)
         if len(many):
@@ -269,16 +268,17 @@ def _score_pairs(model: Words, d: np.ndarray, hot: float, sums: dict[int, list[f
         made = []
         tables = stored.to_pylist()
         known = tables[0] if tables else None
-        context = unpacked(known["contexts"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
-        word = unpacked(known["words"]).astype(np.uint64) if known else np.zeros(0, np.uint64)
-        uses = unpacked(known["uses"]).astype(np.int64) if known else np.zeros(0, np.int64)
+        empty = packed(np.zeros(0, np.uint64))
+        known = known or dict.fromkeys(("contexts", "sizes", "words", "uses"), empty)
+        heads, sizes = unpacked(known["contexts"]).astype(np.uint64), unpacked(known["sizes"]).astype(np.int64)
+        word, uses = unpacked(known["words"]).astype(np.uint64), unpacked(known["uses"]).astype(np.int64)
+        run = np.repeat(np.arange(len(heads)), sizes)
+        context = heads[run] if len(heads) else heads
         rows = asked.to_pylist()
         mine = [row for row in rows if row["contexts"] is not None]
         made += [{"batch": row["batch"], "docs": row["docs"], "sums": row["sums"], "score": None} for row in rows if row["contexts"] is None]
         if not mine:
             return pa.Table.from_pylist(made, _SCORED)
-        heads, first = np.unique(context, return_index=True)
-        run = np.repeat(np.arange(len(heads)), np.diff(np.append(first, len(context))))
         read = [_read(row) for row in mine]
         c, total, w, count = (np.concatenate([x[at] for x in read]) for at in range(4))
         # All pairs, stored and asked, take numbers in the order of (context, word).
@@ -294,27 +294,27 @@ def _score_pairs(model: Words, d: np.ndarray, hot: float, sums: dict[int, list[f
         # Word counts of stored pairs are those asked with them: a training pair is asked by the batch it comes from.
         word_count = np.zeros(len(table), np.int64)
         word_count[number[len(uses) :]] = count
-        left = np.zeros((len(heads), K + 1))
+        # By context, one more for those without a training pair here: sums of counts up to K, and the mass its seen words have.
+        left = np.zeros((len(heads) + 1, K + 1))
         for r in range(1, K + 1):
-            left[:, r - 1] = np.bincount(run, uses == r, len(heads))
-        left[:, K] = np.bincount(run, model.of(word_count[number[: len(uses)]]), len(heads))
-        for at, head in enumerate(heads):
-            if sums and (found := sums.get(int(head.view(np.int64)))) is not None:
-                left[at] = found
-        head_at = np.searchsorted(heads, c)
-        head_at = np.minimum(head_at, max(len(heads) - 1, 0))
-        seen_context = (heads[head_at] == c) if len(heads) else np.zeros(len(c), bool)
-        row = np.where(seen_context[:, None], left[head_at], 0.0) if len(heads) else np.zeros((len(c), K + 1))
-        for at in np.flatnonzero(~seen_context & (total >= hot)) if sums else ():
-            if (found := sums.get(int(c[at].view(np.int64)))) is not None:
-                row[at] = found
-        r = np.arange(1, K + 1)
-        mass = (row[:, :K] * ((1 - d[1:]) * r)).sum(axis=1)
+            left[:-1, r - 1] = np.bincount(run, uses == r, len(heads))
+        left[:-1, K] = np.bincount(run, model.of(word_count[number[: len(uses)]]), len(heads))
+        head_at = np.minimum(np.searchsorted(heads, c), max(len(heads) - 1, 0))
+        head_at = np.where(heads[head_at] == c, head_at, len(heads)) if len(heads) else np.zeros(len(c), np.int64)
+        if sums:  # frequent contexts lie in several partitions
+            named = np.array(list(sums), np.int64).view(np.uint64)
+            frequent = np.flatnonzero(total >= hot)
+            frequent = frequent[np.isin(c[frequent], named)]
+            found, place = np.unique(c[frequent], return_inverse=True)
+            head_at[frequent] = len(left) + place
+            left = np.concatenate([left, np.array([sums[int(head.view(np.int64))] for head in found]).reshape(-1, K + 1)])
+        mass = ((left[:, :K] * ((1 - d[1:]) * np.arange(1, K + 1))).sum(axis=1))[head_at]
+        seen = left[head_at, K]
         none = (mass <= 0) & (total > 0)  # only counts above K: one more use is set aside for all others
         whole = np.where(none, total + 1, np.maximum(total, 1)).astype(float)
         mass = np.where(none, 1.0, mass) / whole
         factor = np.where(none | (c_uses > K), 1.0, d[np.minimum(c_uses, K)])
-        alpha = np.where(total > 0, mass / np.maximum(1 - row[:, K], 1e-12), 1.0)
+        alpha = np.where(total > 0, mass / np.maximum(1 - seen, 1e-12), 1.0)
         chance = np.where(c_uses > 0, factor * c_uses / whole, alpha * model.of(count))
         logs = np.log10(np.maximum(chance, 1e-300))
         at = 0
@@ -366,7 +366,9 @@ def score(docs: DataFrame) -> DataFrame:
         base = (tokens + 0.5 * (types + 1), 0.0)
         hot = max(tokens / (2 * parts), 1000.0)
         answers = words.filter("batch IS NOT NULL").drop("sums").groupBy("batch")
-        sides = batches.drop("doc_ids", "counts").groupBy("batch").cogroup(answers)
+        batches = scratch.keep(batches.drop("words", "counts"), "tokens")
+        scratch.drop("batches")
+        sides = batches.drop("doc_ids").groupBy("batch").cogroup(answers)
         made = sides.applyInArrow(_pairs(model, parts, hot, int(n_train or 0), base, False), _PAIR_SQL)
         pairs = scratch.keep(made.groupBy("part").applyInArrow(_count_pairs(model, hot), _MODEL_SQL), "pairs")
         # At most two frequent contexts per partition, and one row of counts.
