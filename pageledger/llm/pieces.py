@@ -32,7 +32,7 @@ from pageledger.llm.common import buffers, slices
 MODEL = "piece_bpe_32k.model"
 MARK, UNKNOWN = "▁", 10.0
 #: Longer words are not remembered; words that a worker remembers; bytes of text that are cut into words at once.
-LONG_WORD, MEMO_WORDS, TEXT_BYTES = 64, 500_000, 8 << 20
+LONG_WORD, MEMO_WORDS, TEXT_BYTES = 64, 150_000, 3 << 20
 
 
 class Vocabulary:
