@@ -40,3 +40,19 @@ def test_page_text_stays_out_of_shuffles(spark):
 def test_scans_read_only_what_is_asked_for(spark):
     plan = plan_of(entry.queries()["url_parts"](spark, FOLDER))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_a_crawl_level_is_numbered_in_one_shuffle(spark):
+    from pageledger.operators.numbering import in_blocks
+
+    frame = spark.range(100).selectExpr("'s' AS site", "id AS parent_seq", "0 AS pos", "string(id) AS url")
+    plan = plan_of(in_blocks(frame, ["site"], ["parent_seq", "pos", "url"]))
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_first_visits_are_hash_aggregates(spark):
+    from pageledger.operators.frontier import first_visit
+
+    frame = spark.range(100).selectExpr("'s' AS site", "string(id) AS url", "id AS parent_seq", "0 AS pos")
+    plan = plan_of(first_visit(frame))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
