@@ -16,7 +16,7 @@ import tiktoken
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words that a worker remembers, and the longest of them in characters.
-MEMO_WORDS, MEMO_LENGTH = 300_000, 40
+MEMO_WORDS, MEMO_LENGTH = 120_000, 40
 _UNEVEN = re.compile(r" \s|\s ")
 
 

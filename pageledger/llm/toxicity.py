@@ -34,6 +34,8 @@ FIT_ROWS, LEXICON_TERMS = 18_000, 1_000
 #: Letters of a stem, from and to; uses of a term that a document counts, that toxic documents need, least log ratio.
 STEM, LONG_STEM, MOST_USES, LEAST_USES, LEAST_RATIO = 3, 7, 3, 6, 2.3
 TREES, DEPTH, THRESHOLD = 20, 3, 0.3
+#: Rows that leave a task together.
+ROWS_AT_ONCE = 1_000
 #: The lexicon that holds without any labels.
 INSULTS = tuple("idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown imbecile dumb filth vermin bastard hate".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vuestro".split())
@@ -109,9 +111,11 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], stems: dict[str, flo
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(text.as_py() or "", lexicon, stems) for text in batch.column("text")]
-            columns = [batch.column(name) for name in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.list_(pa.float64()))], [*names, "features"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                made = [features(text.as_py() or "", lexicon, stems) for text in some.column("text")]
+                columns = [some.column(name) for name in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.list_(pa.float64()))], [*names, "features"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(of, schema + ", features array<double>")
