@@ -70,11 +70,6 @@ def _level(fresh: DataFrame, depth: int, before: DataFrame | None, limit: int |
     return rows if limit is None else rows.filter(F.col("seq") <= limit), cut(counts, "crawl-counts")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Edges ``(site, src, dst, pos)`` as one row per page, ``(site, src, links array<struct<pos, url>>)``."""
-    return edges.groupBy("site", "src").agg(F.collect_list(F.struct("pos", F.col("dst").alias("url"))).alias("links"))
-
-
 def crawl(
     start: DataFrame,
     edges: DataFrame,
@@ -93,8 +88,9 @@ def crawl(
     if state is not None:
         known = state.select("site", "url")
         before = cut(known.groupBy("site").agg(F.count(F.lit(1)).alias("_visited")), "crawl-counts")
-    # one slim row per page meets the parents; its links are spread afterwards
-    pages = edges if "links" in edges.columns else cut(adjacency(edges), "crawl-links")
+    # pages meet the parents as one slim row each, links spread afterwards; edges meet them row by row, so no page's links are gathered
+    listed = "links" in edges.columns
+    pages = edges if listed else cut(edges.select("site", "src", "dst", "pos"), "crawl-links")
     first = start.select("site", "url", F.col("ord").alias("parent_seq"), F.lit(0).alias("pos"))
     first = first_visit(first)
     if known is not None:
@@ -106,8 +102,12 @@ def crawl(
         if limit is not None:
             parents = parents.filter(F.col("_visited") < limit)
         parents = parents.select("site", F.col("url").alias("src"), F.col("seq").alias("parent_seq"))
-        met = parents.join(pages, ["site", "src"]).select("site", "parent_seq", F.explode_outer("links").alias("link"))
-        reached = met.filter(F.col("link").isNotNull()).select("site", "parent_seq", "link.url", "link.pos")
+        reached = parents.join(pages, ["site", "src"])
+        if listed:
+            met = reached.select("site", "parent_seq", F.explode_outer("links").alias("link"))
+            reached = met.filter(F.col("link").isNotNull()).select("site", "parent_seq", "link.url", "link.pos")
+        else:
+            reached = reached.select("site", "parent_seq", F.col("dst").alias("url"), "pos")
         visited = [taken.select("site", "url") for taken in (levels if known is None else [known, *levels])]
         rows, before = _level(minus(first_visit(reached), reduce(DataFrame.unionByName, visited)), level, before, limit)
         if rows.isEmpty():

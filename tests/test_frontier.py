@@ -60,6 +60,23 @@ def test_random_graphs(spark, seed):
         assert run(spark, seeds, links, 4, limit) == queue_crawl(seeds, links, 4, limit)
 
 
+def test_links_of_a_page_are_not_gathered(spark, monkeypatch):
+    """Edges of a hot page stay rows of their own; what is written of them has as many rows as there are edges."""
+    written = {}
+
+    def cut(df, name):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+        out = kept(df, name)
+        written.setdefault(name, out)
+        return out
+
+    kept = frontier.cut
+    monkeypatch.setattr(frontier, "cut", cut)
+    links = {"hot": [f"n{n}" for n in range(500)] + ["n3"], "n3": ["hot", "z"]}
+    assert run(spark, ["hot"], links, 2, 1000) == queue_crawl(["hot"], links, 2, 1000)
+    assert written["crawl-links"].count() == 503
+
+
 def test_seeds_follow_the_listing_then_the_base(spark):
     listing = spark.createDataFrame(
         [("s", 1, "b"), ("s", 0, "c"), ("s", 2, "c"), ("t", 0, "base-t")],
