@@ -7,7 +7,8 @@ least; ties take the smaller gap; a new bin is opened only if no open one has ro
 
 Pieces are dealt evenly into blocks of a bounded number, packed independently, each by one task.  Pieces of bins that are left
 with a gap are then dealt again over fewer blocks, until one block holds them, so what the block edges waste does not
-grow with the number of blocks.  Between rounds the slim piece table is written to the shared folder; the dealing uses the row number
+grow with the number of blocks.  Ids are written with the pieces, numbered by row, and do not go through the blocks: the places are joined to
+them by that number at the end, and full pieces do not move.  Between rounds the slim piece table is written to the shared folder; the dealing uses the row number
 within a file part of that table, so it is the same when a task is repeated.
 
 Defined cases: a null text is empty; an empty text is one piece of the closing id; repeated rows are packed as rows of their own; null ids
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,17 +107,23 @@ def _packer(turn: int, sequence: int, order: list[str]):
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, block: int = BLOCK_PIECES) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``; needs ``length``, from 1 to ``sequence``."""
+    """The pieces with ``sequence_id`` and ``offset``; needs ``length``, from 1 to ``sequence``.
+
+    Binary columns, as ``ids``, are written with the pieces and stay there while these are placed.
+    """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.keep(pieces, "pieces")
-    names = pieces.columns
-    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, gap bigint"
+    whole = pieces.columns
+    pieces = scratch.keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    wide = [name for name, kind in pieces.dtypes if kind == "binary"]
+    names = [name for name in pieces.columns if name not in wide]
+    result = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes if name in names) + ", sequence_id bigint, offset bigint, gap bigint"
     full = pieces.filter(F.col("length") >= sequence)
-    done = [full.select(*names, F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    rest = pieces.filter(F.col("length") < sequence)
-    order = [name for name in names if name != "length" and dict(pieces.dtypes)[name] != "binary"]
+    full = full.select(*whole, F.col("_row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = pieces.filter(F.col("length") < sequence).select(*names)
+    order = [name for name in names if name not in ("length", "_row")] + ["_row"]
     left, turn = rest.count(), 0
+    done = []
     while left:
         blocks = -(-left // block)
 
@@ -130,7 +138,9 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, block: int = BLOCK_PIECES)
         if left > 0.9 * before:  # what is left does not combine within blocks of this size; later rounds would not end
             done.append(round_.filter(F.col("gap") > FINE_GAP).drop("gap"))
             break
-    frame = done[0]
-    for more in done[1:]:
-        frame = frame.unionByName(more)
-    return frame
+    if not done:
+        return full
+    placed = reduce(DataFrame.unionByName, done)
+    if wide:
+        placed = pieces.filter(F.col("length") < sequence).join(placed.select("_row", "sequence_id", "offset"), "_row")
+    return full.unionByName(placed.select(*full.columns))

@@ -83,8 +83,9 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(packing.pieces_of(table(spark, folder, "documents"), with_ids=False))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Every piece and its place; the checksum is that of the packed ids."""
+    packed = packing.pack(packing.pieces_of(table(spark, folder, "documents")).drop("ids_crc32"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:

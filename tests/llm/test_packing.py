@@ -77,6 +77,34 @@ def test_ids_travel_with_their_pieces(spark):
     assert zlib.crc32(row["ids"]) == row["ids_crc32"] and row["length"] * 4 == len(row["ids"])
 
 
+def test_every_piece_keeps_its_own_ids(spark, tokenizer):
+    """Full pieces, repeated rows and several rounds of blocks: the ids at each place are those of the document there."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["alpha", "beta", "ga", "mma", "!"], k=rng.randint(0, 200)))) for i in range(200)] + [(5, "again"), (5, "again"), (None, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for block in (1 << 16, 40):
+        rows = packing.pack(packing.pieces_of(frame, 64), 64, block).collect()
+        check(rows, docs, tokenizer, 64)
+        assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+
+
+def test_the_registered_uses_place_ids(spark, tmp_path, monkeypatch):
+    """No use of packing turns the ids off; their checksum comes from the packed ids, and the pipeline ends with the ids."""
+    import corpus_pipeline
+    from pageledger.llm.registered import op9_best_fit_packing
+
+    frame = spark.createDataFrame([(1, "some words here"), (2, "more words")], "doc_id bigint, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    place = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces, *a: seen.append(pieces.columns) or place(pieces, *a))
+    rows = op9_best_fit_packing(spark, str(tmp_path)).collect()
+    ended = corpus_pipeline.packed(spark, frame, str(tmp_path)).collect()
+    assert all("ids" in columns and "ids_crc32" not in columns for columns in seen) and len(seen) == 2
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in ended)
+    assert {(r["doc_id"], r["ids_crc32"]) for r in rows} == {(r["doc_id"], r["ids_crc32"]) for r in ended}
+
+
 def test_empty_table(spark):
     assert packing.pack(packing.pieces_of(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
 
