@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import chat, exact_dedup, katz, packing, pieces, pii, simhash, suffix_dedup, topk, toxicity
+from pageledger.llm import chat, exact_dedup, katz, packing, periodic_runs, pieces, pii, simhash, suffix_dedup, topk, toxicity
 from pageledger.llm.common import table
 
 
@@ -94,6 +94,36 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def _with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose checksum is divisible by ten repeat a block of their words from some word on."""
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    picked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("bigint"), F.floor(F.col("h") / 10)
+    at = picked.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    at = at.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    a, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    block = F.array_repeat(F.slice("words", a + 1, p), F.ceil(rest / p).cast("int"))
+    repeated = F.concat(F.slice("words", F.lit(1), a), F.slice(F.flatten(block), F.lit(1), rest))
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of every text; the greatest is compared as doubles, which are exact up to 10^8 words."""
+    found = periodic_runs.periodic_runs(_with_planted_repeats(table(spark, folder, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("least"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.select("doc_id", "runs", "collapsed", F.array_min(ranked).alias("best"), listed.alias("listed"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -105,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
