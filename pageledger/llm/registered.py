@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import chat, exact_dedup, katz, packing, periodic_runs, pieces, pii, simhash, suffix_dedup, topk, toxicity
+from pageledger.llm import bpe_tree, chat, exact_dedup, katz, packing, periodic_runs, pieces, pii, simhash, suffix_dedup, topk, toxicity
 from pageledger.llm.common import table
 
 
@@ -94,6 +94,14 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every text, and the bytes that they decode to."""
+    encoded = bpe_tree.encode(table(spark, folder, "documents"))
+    listed = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    decoded = bpe_tree.decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), listed.alias("ids_sha256"), "ids"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _with_planted_repeats(docs: DataFrame) -> DataFrame:
     """Texts of ids whose checksum is divisible by ten repeat a block of their words from some word on."""
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -135,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_byte_bpe": op11_byte_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
