@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageledger.llm import bpe_tree, chat, exact_dedup, katz, packing, periodic_runs, pieces, pii, simhash, suffix_dedup, topk, toxicity
+from pageledger.llm import bpe_tree, chat, exact_dedup, katz, packing, periodic_runs, pieces, pii, simhash, spelling, suffix_dedup, topk, toxicity
 from pageledger.llm.common import table
 
 
@@ -102,6 +102,11 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the texts, one character of some runs taken out, with its form and the root of its forms."""
+    return spelling.variant_groups(table(spark, folder, "documents"), drop_every=31)
+
+
 def _with_planted_repeats(docs: DataFrame) -> DataFrame:
     """Texts of ids whose checksum is divisible by ten repeat a block of their words from some word on."""
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -144,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
