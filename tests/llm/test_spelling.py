@@ -96,7 +96,7 @@ def test_no_rows(spark):
     assert spelling.variant_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_signatures_are_shuffled_once(spark):
+def test_plan_joins_by_equality(spark):
     words = spark.createDataFrame([("abcdefg", 2), ("abcdefh", 30)], "word string, n bigint")
     pairs = spelling.near_pairs(words)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
