@@ -1,59 +1,31 @@
-"""Token ids of texts under a byte-level BPE vocabulary.
+"""Token ids of whole texts under a byte-level BPE vocabulary, as its ``tokenizers`` file gives them.
 
-The vocabulary's rank file gives the same ids as its ``tokenizers`` file.  Merges never cross the split pattern's boundaries,
-and a single space between two other characters always starts a piece, so a text is cut there and each word's ids are looked up
-in a bounded per-worker memo; only texts with other white space beside a space are encoded whole.
+The merges are read from the rank file, which holds the same vocabulary.  Tokens that the ``tokenizers`` file adds to it, as the one that
+ends a text, are found in a text before it is split, wherever their strings stand.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import json
 
-import numpy as np
 import public_tokenizers
 import tiktoken
 
-RANKS = "byte_bpe_50k.tiktoken"
-#: Words that a worker remembers, and the longest of them in characters.
-MEMO_WORDS, MEMO_LENGTH = 120_000, 40
-_UNEVEN = re.compile(r" \s|\s ")
+RANKS, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 class Encoder:
-    def __init__(self, ranks: str | None = None):
+    def __init__(self, ranks: str | None = None, added: str | None = None):
         with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
-            pairs = (line.split() for line in lines)
-            known = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        self.memo = _Memo(self._bytes)
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+            known = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+        with open(added or public_tokenizers.path(ADDED), encoding="utf-8") as file:
+            special = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if _UNEVEN.search(text):
-            return self._bytes(text)
-        first, *words = text.split(" ")
-        if words and words[-1] == "" or first == "":
-            return self._bytes(text)
-        found = self._bytes(first) + b"".join(map(self.memo.__getitem__, words))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        return found
-
-
-class _Memo(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(" " + word)
-        if len(word) <= MEMO_LENGTH:
-            self[word] = found
-        return found
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[str | None, Encoder] = {}

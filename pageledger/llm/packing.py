@@ -5,11 +5,14 @@ that may be shorter.  Full pieces are sequences by themselves.  The others are p
 first: a piece goes to the open bin for which the sum over gaps of the squared number of open bins with that gap becomes
 least; ties take the smaller gap; a new bin is opened only if no open one has room.
 
-Pieces are dealt evenly into blocks of a bounded number, packed independently, each by one task.  Pieces of bins that are left
-with a gap are then dealt again over fewer blocks, until one block holds them, so what the block edges waste does not
-grow with the number of blocks.  Ids are written with the pieces, numbered by row, and do not go through the blocks: the places are joined to
-them by that number at the end, and full pieces do not move.  Between rounds the slim piece table is written to the shared folder; the dealing uses the row number
-within a file part of that table, so it is the same when a task is repeated.
+Pieces are dealt evenly into blocks of a bounded number, packed independently, each by one task.  A block is left with at most one
+sequence that is no more than half full, as a new one is opened only if no other has room.  These, and as many of the others with the
+largest gaps, are then packed again as units, over blocks as before, until one block holds them all: there are at most twice as many
+units as blocks, so few rounds follow whatever the number of pieces, and in the end at most one sequence is half empty.
+
+Ids are written with the pieces, numbered by row, and do not go through the blocks: the places are joined to them by that number at the end, by
+one shuffle and merge at every size, and full pieces do not move.  Between rounds the slim tables are written to the shared folder; the dealing
+uses the row number within a file part of them, so it is the same when a task is repeated.
 
 Defined cases: a null text is empty; an empty text is one piece of the closing id; repeated rows are packed as rows of their own; null ids
 are kept; an empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are passed over.
@@ -19,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pageledger.llm.byte_bpe import encoder
 from pageledger.llm.common import Scratch
 
 SEQUENCE, CLOSING_ID = 1024, 2
-#: Pieces of a block; gaps up to this size are left alone.
-BLOCK_PIECES, FINE_GAP = 65_536, 2
+#: Pieces, or units of later rounds, of a block.
+BLOCK_PIECES = 65_536
 
 
 def pieces_of(docs: DataFrame, sequence: int = SEQUENCE, closing: int = CLOSING_ID, ranks: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -106,41 +108,40 @@ def _packer(turn: int, sequence: int, order: list[str]):
     return packed
 
 
+def _round(rows: DataFrame, turn: int, blocks: int, sequence: int, order: list[str]) -> DataFrame:
+    """The rows with the sequence, offset and gap that they get in their block."""
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", sequence_id bigint, offset bigint, gap bigint"
+    dealt = rows.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    return dealt.groupBy("_block").applyInArrow(_packer(turn, sequence, order), schema)
+
+
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, block: int = BLOCK_PIECES) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; needs ``length``, from 1 to ``sequence``.
 
     Binary columns, as ``ids``, are written with the pieces and stay there while these are placed.
     """
-    spark = pieces.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(pieces.sparkSession, "packing")
     whole = pieces.columns
     pieces = scratch.keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    wide = [name for name, kind in pieces.dtypes if kind == "binary"]
-    names = [name for name in pieces.columns if name not in wide]
-    result = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes if name in names) + ", sequence_id bigint, offset bigint, gap bigint"
     full = pieces.filter(F.col("length") >= sequence)
     full = full.select(*whole, F.col("_row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    rest = pieces.filter(F.col("length") < sequence).select(*names)
-    order = [name for name in names if name not in ("length", "_row")] + ["_row"]
-    left, turn = rest.count(), 0
-    done = []
-    while left:
-        blocks = -(-left // block)
-
-        dealt = rest.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-        round_ = scratch.keep(dealt.groupBy("_block").applyInArrow(_packer(turn, sequence, order), result), f"round-{turn}")
-        if blocks == 1:
-            done.append(round_.drop("gap"))
-            break
-        done.append(round_.filter(F.col("gap") <= FINE_GAP).drop("gap"))
-        rest = round_.filter(F.col("gap") > FINE_GAP).select(*names)
-        before, left, turn = left, rest.count(), turn + 1
-        if left > 0.9 * before:  # what is left does not combine within blocks of this size; later rounds would not end
-            done.append(round_.filter(F.col("gap") > FINE_GAP).drop("gap"))
-            break
-    if not done:
-        return full
-    placed = reduce(DataFrame.unionByName, done)
-    if wide:
-        placed = pieces.filter(F.col("length") < sequence).join(placed.select("_row", "sequence_id", "offset"), "_row")
-    return full.unionByName(placed.select(*full.columns))
+    wide = [name for name, kind in pieces.dtypes if kind == "binary"]
+    slim = pieces.filter(F.col("length") < sequence).select(*[name for name in pieces.columns if name not in wide])
+    blocks = max(1, -(-slim.count() // block))
+    order = [name for name in slim.columns if name not in ("length", "_row")] + ["_row"]
+    made = scratch.keep(_round(slim, 0, blocks, sequence, order), "round-0")
+    placed = made.select("_row", "sequence_id", "offset")
+    turn = 0
+    while blocks > 1:
+        open_ones = made.filter(F.col("offset") == 0).select(F.col("sequence_id").alias("unit"), "gap")
+        short = open_ones.filter(2 * F.col("gap") >= sequence)
+        n_short, turn = short.count(), turn + 1  # at most one in each block
+        roomy = open_ones.filter(2 * F.col("gap") < sequence).orderBy(F.desc("gap"), "unit").limit(n_short)
+        units = short.unionByName(roomy).select("unit", (F.lit(sequence) - F.col("gap")).alias("length"))
+        blocks = max(1, -(-2 * n_short // block))
+        made = scratch.keep(_round(units, turn, blocks, sequence, ["unit"]), f"round-{turn}")
+        moves = made.select("unit", F.col("sequence_id").alias("_to"), F.col("offset").alias("_by"))
+        placed = placed.join(moves, F.col("sequence_id") == F.col("unit"), "left")
+        placed = placed.select("_row", F.coalesce("_to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset"))
+    rest = pieces.filter(F.col("length") < sequence).join(placed.hint("merge"), "_row")
+    return full.unionByName(rest.select(*full.columns))

@@ -44,6 +44,8 @@ REPLACED_PARTS, REPLACED_STRETCHES = 3, 4
 INSERTED_PARTS, INSERTED_STRETCHES = 2, 2
 #: Distinct words that a task counts before it hands them on, words signed at once, and texts cut into words as a whole.
 COUNTED, SIGNED, TEXT_BYTES = 100_000, 4_000, 4 << 20
+#: Words that one task signs; their rows are some twenty times as many.
+TASK_WORDS = 1 << 15
 
 
 def word_counts(docs: DataFrame, drop_every: int | None = None, least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -180,7 +182,8 @@ def variants(counts: DataFrame, least_uses: int = LEAST_USES, ratio: int = RATIO
     scratch = Scratch(spark, "spelling")
     with freed_shuffles(spark):
         words = scratch.keep(counts.filter(F.col("n") >= least_uses), "words")
-        pairs = scratch.keep(near_pairs(words), "pairs")
+        spread = words.repartition(max(1, -(-words.count() // TASK_WORDS)), "word")
+        pairs = scratch.keep(near_pairs(spread), "pairs")
         both = pairs.select("word", F.col("other").alias("near"), F.col("other_n").alias("near_n"))
         both = both.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
         best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))

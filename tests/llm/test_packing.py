@@ -14,13 +14,11 @@ from pageledger.llm.byte_bpe import Encoder
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 TEXTS = [
-    "", "a", " ", "  ", "a b", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "tab\t x", "x  y", "don't we'll  I'm", "<|endoftext|> ok",
+    "", "a", " ", "  ", "a b", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "tab\t x", "x  y", "don't we'll  I'm", "<|endoftext|> ok", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> \n<|endoftext|", "wo<|endoftext|>rd's  x",
     "é è 日本 語", "\r\n x", "12 345  6", "a\x1c b", "!!! ??? ...x", "  wide", "word " * 50, "x" * 200 + " " + "y" * 100,
 ]
 
@@ -28,7 +26,7 @@ TEXTS = [
 def test_ids_are_those_of_the_tokenizers_library(tokenizer):
     rng = random.Random(4)
     encoder = Encoder()
-    texts = TEXTS + ["".join(rng.choices("ab é.\n\t 1'sX", k=rng.randint(1, 60))) for _ in range(400)]
+    texts = TEXTS + ["".join(rng.choices([*"ab é.\n\t 1'sX", "<|endoftext|>"], k=rng.randint(1, 60))) for _ in range(400)]
     for text in texts * 2:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
