@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,16 +41,49 @@ def test_common_vectors_and_empty_table(spark):
     assert run(spark, []) == set()
 
 
-def test_reading_stops_early():
-    import numpy as np
+def index(matrix):
+    return topk.Block(np.arange(len(matrix)), matrix)
+
 
+def test_reading_stops_early():
+    """A query whose best vectors lead all lists reads a few entries, and none of another block whose bound is below the carried score."""
     rng = np.random.default_rng(1)
     matrix = rng.integers(-5, 5, (4000, 3))
     matrix[:10] = 900
-    ranked = np.argsort(-matrix, axis=0, kind="stable").T.copy()
+    block = index(matrix)
+    assert block.threshold(-1, np.array([1, 1, 1]), 5, None) == [(2700, i) for i in range(5)]
+    assert block.read < 100
+    other = index(rng.integers(-5, 5, (4000, 3)))
+    assert other.threshold(-1, np.array([1, 1, 1]), 5, 2700) == []
+    assert other.read < 30
+
+
+def test_reading_ends_in_one_product():
+    """No more entries are read from lists than there are vectors; then each vector is read once."""
+    rng = np.random.default_rng(2)
+    block = index(rng.integers(-100, 100, (3000, 40)))
+    queries = [(at, rng.integers(-100, 100, 40), None) for at in range(20)]
+    found = block.search(queries, 5)
+    assert block.read <= 20 * 2 * 3000
+    for at, query, _ in queries:
+        scores = block.matrix @ query
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != at)[:5]
+        assert sorted((-s, i) for q, i, s in found if q == at) == best
+
+
+def test_the_carried_score_changes_no_result():
+    rng = np.random.default_rng(3)
+    matrix = rng.integers(-3, 4, (900, 2))
+    block = index(matrix)
+    for floor in (-5, 0, 10, 17, 18, 19):
+        for at in range(30):
+            query = rng.integers(-3, 4, 2)
+            scores = matrix @ query
+            best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if s >= floor and i != at)[:5]
+            found = sorted((-s, i) for _, i, s in block.search([(at, query, floor)], 5))
+            assert found == best
 
-    class Counted(np.ndarray):
-        pass
 
-    found = topk.threshold_search(np.arange(4000), matrix, ranked, -1, np.array([1, 1, 1]), 5)
-    assert [i for _, i in found] == [0, 1, 2, 3, 4]
+def test_large_components_are_exact():
+    matrix = np.array([[1 << 30, 1], [1 << 30, 2], [(1 << 30) - 1, 3]])
+    assert index(matrix).scores(np.array([[(1 << 30) + 1, 1]])).tolist() == [[((1 << 30) + 1) * a + b for a, b in matrix.tolist()]]
