@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
 from pageledger.schemas import PAGE_CONTENT_FIELDS
+from pageledger.session import cut
 
 NOT_IN_SNAPSHOT = "No snapshot for this URL"
 
@@ -92,14 +93,21 @@ def one_snapshot(content: DataFrame, order: Sequence[str] = ("fetched_at",)) ->
     """One row per ``(site, url)`` of content rows: a page that was read before one that failed, then the latest by the ``order``
     columns that are there, then the greatest by a hash of its fields.
 
-    Slim rows only, and copies of a page are combined before the shuffle.
+    The rows are written, and a count for each address tells which come again; only the rows of those are shuffled and compared.
     """
     rest = [name for name in content.columns if name not in ("site", "url")]
     latest = [F.col(name) for name in order if name in content.columns]
     fields = [name for name, _ in PAGE_CONTENT_FIELDS]
+    content = cut(content, "snapshots")
+    again = content.groupBy(F.col("site").alias("_site"), F.col("url").alias("_url")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_site", "_url")
+    again = cut(again, "repeated")  # its exact size decides whether it is sent to the rows
+    if again.isEmpty():
+        return content.select("site", "url", *rest)
+    same = F.col("site").eqNullSafe(F.col("_site")) & F.col("url").eqNullSafe(F.col("_url"))
+    once = content.join(again, same, "left_anti")
     place = F.struct(F.col("error").isNull(), *latest, F.xxhash64(*fields, "links"))
-    picked = content.groupBy("site", "url").agg(F.max_by(F.struct(*rest), place).alias("_one"))
-    return picked.select("site", "url", "_one.*")
+    picked = content.join(again, same, "left_semi").groupBy("site", "url").agg(F.max_by(F.struct(*rest), place).alias("_one"))
+    return cut(once.select("site", "url", *rest).unionByName(picked.select("site", "url", "_one.*")), "one-snapshot")
 
 
 def link_edges(content: DataFrame) -> DataFrame:

@@ -32,16 +32,23 @@ def _not_recorded(pages: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def audit_increment(pages: DataFrame, state: DataFrame | None, force: bool = False) -> DataFrame:
-    """Content records of the pages that are not in the state yet, one per address.
+    """Content records of the pages that are not in the state yet, one per address; with ``force`` of all pages.
 
-    Known pages are left out before any text is read.  ``seq`` follows on from the records of the site; without a listing no
-    page is in a sitemap.
+    Known pages are left out before any text is read.  ``seq`` follows on from the records of the site, and an address that is recorded again
+    keeps its number, so the numbers of a site stay dense.  Without a listing no page is in a sitemap.
     """
-    earlier = None if force else state
-    if earlier is not None:
-        pages = _not_recorded(pages, earlier)
-    records = number_rows(one_snapshot(extract_content(pages)), ["site"], ["url"], "seq", "increment")
-    if earlier is not None:
-        known = earlier.groupBy("site").agg(F.count(F.lit(1)).alias("_known"))
-        records = records.join(known, "site", "left").withColumn("seq", F.col("seq") + F.coalesce("_known", F.lit(0))).drop("_known")
+    if state is not None and not force:
+        pages = _not_recorded(pages, state)
+    records = one_snapshot(extract_content(pages))
+    if state is None:
+        records = number_rows(records, ["site"], ["url"], "seq", "increment")
+    else:
+        numbers = state.select(F.col("site").alias("_site"), F.col("url").alias("_url"), F.col("seq").alias("_seq") if "seq" in state.columns else F.lit(None).cast("bigint").alias("_seq"))
+        same = F.col("site").eqNullSafe(F.col("_site")) & F.col("url").eqNullSafe(F.col("_url"))
+        # only an address that is in the state already has a number there
+        records = records.join(numbers, same, "left").drop("_site", "_url") if force else records.withColumn("_seq", F.lit(None).cast("bigint"))
+        records = number_rows(records.withColumn("_known_one", F.col("_seq").isNotNull()), ["site", "_known_one"], ["url"], "seq", "increment")
+        known = numbers.groupBy("_site").agg(F.count(F.lit(1)).alias("_known"))
+        records = records.join(known, F.col("site").eqNullSafe(F.col("_site")), "left")
+        records = records.withColumn("seq", F.coalesce("_seq", F.col("seq") + F.coalesce("_known", F.lit(0)))).drop("_site", "_known", "_seq", "_known_one")
     return records.withColumns({"in_sitemap": F.lit(False), "crawl_date": F.current_timestamp()})

@@ -15,7 +15,6 @@ from pageledger.operators.sitemap import choose_sitemap, expand_index, with_site
 from pageledger.operators.state import merge_results
 from pageledger.operators.suggest import attach_suggestions
 from pageledger.schemas import PAGE_METADATA
-from pageledger.session import cut
 
 
 @dataclass(frozen=True)
@@ -67,7 +66,7 @@ def site_audit(
     if options.force:
         state = None
     taken = [name for name in ("status", "html", "fetched_at") if name in pages.columns]
-    content = cut(one_snapshot(extract_content(pages.select("site", "url", *taken))), "content")
+    content = one_snapshot(extract_content(pages.select("site", "url", *taken)))
     start = frontier.seeds(listing, bases, options.sitemap_only)
     visits = frontier.crawl(
         start, page_links(content), options.depth, options.limit, options.follow_links, state

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
-from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, suggest
+from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, state_log, suggest
 from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot, page_links
 from pageledger.operators.summary import audit_percentages, audit_summary
 from pageledger.plans import inputs
@@ -225,7 +225,7 @@ def sitemap_attrs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _visits(spark: SparkSession, folder: str, options: AuditOptions, resume: bool = False) -> DataFrame:
     pages = inputs.site_pages(spark, folder)
-    content = cut(one_snapshot(extract_content(pages.select("site", "url", "html"))), "content")
+    content = one_snapshot(extract_content(pages.select("site", "url", "html")))
     options = options.effective()
     listing = None if options.single_page else inputs.https_listing(pages)
     start = frontier.seeds(listing, inputs.base_pages(pages), options.sitemap_only)
@@ -517,6 +517,43 @@ def state_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_state(spark, path).select("site", "url", "title", "h1_count")
 
 
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    return read_state(spark, path).select("site", "url", "seq", "title")
+
+
+def state_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs, a forced run over the https pages, whose titles have changed, and a rewrite of the log: each address once, with its first number."""
+    path = f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    pages = inputs.site_pages(spark, folder)
+    changed = pages.filter(F.col("url").startswith("https://")).withColumn("html", F.concat(F.lit("<title>again</title>"), "html"))
+    for run, force in ((pages.filter(~F.col("url").contains("#")), False), (pages, False), (changed, True)):
+        write_state(state.audit_increment(run, read_state(spark, path), force), path)
+    state_log.compact(spark, path, many=2)
+    return _fields(spark, path)
+
+
+def state_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """A state of all pages, then a forced run that starts anew for the sites that have a page with a fragment: of these only its records count."""
+    path = f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    pages = inputs.site_pages(spark, folder)
+    write_state(state.audit_increment(pages, None), path)
+    listed = pages.join(inputs.earlier_pages(pages).select("site").distinct(), "site", "left_semi")
+    options = AuditOptions(depth=0, limit=None, sitemap_only=True, force=True)
+    records = site_audit(pages, inputs.base_pages(listed), inputs.https_listing(listed), options, read_state(spark, path))
+    write_state(records, path, replaces=True)
+    return _fields(spark, path)
+
+
+def audit_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """An audit of the https pages is recorded; the next one, of all pages, gives these records and then the new ones."""
+    path = f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    pages = inputs.site_pages(spark, folder)
+    bases = inputs.base_pages(pages)
+    write_state(site_audit(pages, bases, inputs.https_listing(pages), AuditOptions(depth=0, limit=None, sitemap_only=True)), path)
+    records = site_audit(pages, bases, _whole_listing(pages), AuditOptions(depth=0, limit=None), read_state(spark, path))
+    return records.select("site", "seq", "url", "title", "lastmod")
+
+
 def stream_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The page file as a stream; each address is recorded once."""
     run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -725,6 +762,9 @@ QUERIES: dict[str, Query] = {
     "change_set_defaults": change_set_defaults,
     "incremental_audit": incremental_audit,
     "state_round_trip": state_round_trip,
+    "state_versions": state_versions,
+    "state_replaced": state_replaced,
+    "audit_resumed": audit_resumed,
     "stream_audit": stream_audit,
     "json_report": json_report,
 }

@@ -65,5 +65,3 @@ PAGE_METADATA = T.StructType(
     ]
 )
 CRAWL_STATE = T.StructType(PAGE_METADATA.fields + [T.StructField("crawl_date", T.TimestampType())])
-# the state as stored, with its partition column
-STORED_STATE = T.StructType(CRAWL_STATE.fields + [T.StructField("site_bucket", _int)])

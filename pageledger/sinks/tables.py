@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageledger import schemas
 from pageledger.operators.report import csv_lines, csv_view, html_rows, html_summary
-
-STATE_BUCKETS = 256
-
-
-def site_bucket(site: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(site), F.lit(buckets)).cast("int")
-
+from pageledger.operators.state_log import append
+from pageledger.session import cut
 
 def write_json(records: DataFrame, path: str, base_url: str, options: dict[str, str]) -> None:
     """Records one per line under ``pages``, the run header as one row under ``run``."""
@@ -27,32 +21,21 @@ def write_json(records: DataFrame, path: str, base_url: str, options: dict[str,
 
 def write_csv(records: DataFrame, path: str) -> None:
     """The CSV report in visit order, header line first; no records, no lines."""
-    lines = csv_lines(csv_view(records, keep=("site", "seq")), keep=("site", "seq"))
+    lines = cut(csv_lines(csv_view(records, keep=("site", "seq")), keep=("site", "seq")), "csv-lines")
     ordered = lines.orderBy(F.col("is_header").desc(), "site", "seq")
     ordered.select("line").write.mode("overwrite").text(path)
 
 
 def write_html(records: DataFrame, summary: DataFrame, path: str) -> None:
     """Table rows of the HTML report, for pages and for the summary with percentages."""
-    html_rows(records).orderBy("site", "seq").select("row_html").write.mode("overwrite").text(f"{path}/pages")
+    cut(html_rows(records), "html-rows").orderBy("site", "seq").select("row_html").write.mode("overwrite").text(f"{path}/pages")
     rows = html_summary(summary).orderBy("site", "position").select("row_html")
     rows.write.mode("overwrite").text(f"{path}/summary")
 
 
-def write_state(records: DataFrame, path: str) -> None:
-    """Append records to the state.
-
-    Partitioned by a hash of the site: the folder count stays fixed with any number of sites, and the rebalance
-    hint lets AQE split the partition of a very large site and merge those of small ones.
-    """
-    stored = records if "crawl_date" in records.columns else records.withColumn("crawl_date", F.current_timestamp())
-    names = set(stored.columns)
-    columns = [
-        (F.col(field.name) if field.name in names else F.lit(None)).cast(field.dataType).alias(field.name)
-        for field in schemas.CRAWL_STATE
-    ]
-    bucketed = stored.select(*columns, site_bucket(F.col("site"), STATE_BUCKETS).alias("site_bucket"))
-    bucketed.hint("rebalance", "site_bucket").write.mode("append").partitionBy("site_bucket").parquet(path)
+def write_state(records: DataFrame, path: str, replaces: bool = False) -> None:
+    """Add a run's records to the state.  ``replaces`` is for a forced run over whole sites: what earlier runs recorded of them ends."""
+    append(records, path, replaces)
 
 
 def write_changes(changes: DataFrame, path: str, sink_format: str = "parquet") -> None:

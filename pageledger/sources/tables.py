@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
 from pageledger import schemas
+from pageledger.operators import state_log
 from pageledger.operators.changeset import Target
-from pageledger.sinks.tables import STATE_BUCKETS, site_bucket
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -41,17 +40,11 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Earlier page records.  No state yet means an empty table.  One site is found by its bucket alone."""
-    try:
-        state = spark.read.schema(schemas.STORED_STATE).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schemas.CRAWL_STATE)
-    if site is not None:
-        bucket = spark.range(1).select(site_bucket(F.lit(site), STATE_BUCKETS)).head()[0]
-        state = state.filter((F.col("site_bucket") == bucket) & (F.col("site") == site))
-    return state.drop("site_bucket")
+    """Earlier page records, one for each address.  No state yet means an empty table.  One site is found by its bucket alone."""
+    if site is None:
+        return state_log.read(spark, path)
+    bucket = spark.range(1).select(state_log.site_bucket(F.lit(site))).head()[0]
+    return state_log.read(spark, path, [bucket]).filter(F.col("site") == site)
 
 
 def target_from_config(config: dict) -> Target:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from pageledger.operators import state_log
 from pageledger.operators.pages import with_site
 from pageledger.operators.state import audit_increment
 from pageledger.schemas import PAGES
-from pageledger.sinks.tables import write_state
-from pageledger.sources.tables import read_state
 
 #: Files that one batch takes, so that progress is saved between batches of bounded size.
 FILES_PER_BATCH = 1_000
@@ -18,12 +18,17 @@ FILES_PER_BATCH = 1_000
 def audit_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files: int = FILES_PER_BATCH) -> StreamingQuery:
     """Take all files not yet processed at ``source``, add the records of new addresses to the state at ``target``, and stop.
 
-    Each batch is a batch increment against the stored state, so stream and batch runs share one state, nothing is held in memory
-    between batches, and a batch that is run again finds its addresses recorded.
+    Each batch is a batch increment against those buckets of the stored state that its sites are in, so stream and batch runs share one
+    state, nothing is held in memory between batches, and a batch that is run again finds its addresses recorded.  Buckets that many
+    batches have added to are rewritten, so the number of files to look at stays bounded.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        write_state(audit_increment(with_site(batch.drop("site")), read_state(batch.sparkSession, target)), target)
+        pages = with_site(batch.drop("site"))
+        buckets = [row[0] for row in pages.select(state_log.site_bucket(F.col("site"))).distinct().collect()]  # at most as many as there are buckets
+        state = state_log.read(batch.sparkSession, target, buckets)
+        state_log.append(audit_increment(pages, state), target)
+        state_log.compact(batch.sparkSession, target)
 
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(source)
     return pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
