@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
+from pageledger.operators.link_store import LinkStore
 from pageledger.operators.numbering import block_starts, in_blocks
 from pageledger.operators.sitemap import first_listing
 from pageledger.session import cut
@@ -33,19 +34,17 @@ def minus(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known.select("site", "url"), ["site", "url"], "left_anti")
 
 
-#: Links of a page that one number can tell apart, when it also holds the parent's place.
-_PLACES = 1 << 32
-
-
 def first_visit(candidates: DataFrame) -> DataFrame:
     """First queue position per URL, from 0 for ``pos``.
 
     Parent and link place make one number, so the minimum is a hash aggregate and copies of a hot URL are combined before the shuffle.
+    Each has as many digits as a long can have, so no place runs into its parent's.
     """
-    place = F.col("parent_seq").cast("decimal(38,0)") * F.lit(_PLACES) + F.col("pos")
+    digits = F.lit("10000000000000000000").cast("decimal(20,0)")
+    place = (F.col("parent_seq").cast("decimal(19,0)") * digits).cast("decimal(38,0)") + F.col("pos").cast("decimal(19,0)")
     first = candidates.groupBy("site", "url").agg(F.min(place.cast("decimal(38,0)")).alias("_first"))
-    parent = F.floor(F.col("_first") / F.lit(_PLACES).cast("decimal(38,0)"))
-    return first.select("site", "url", parent.cast("bigint").alias("parent_seq"), F.pmod("_first", F.lit(_PLACES)).cast("bigint").alias("pos"))
+    parent = F.expr("_first div 10000000000000000000BD")
+    return first.select("site", "url", parent.cast("bigint").alias("parent_seq"), F.pmod("_first", digits).cast("bigint").alias("pos"))
 
 
 def _level(fresh: DataFrame, depth: int, before: DataFrame | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +88,7 @@ def crawl(
         known = state.select("site", "url")
         before = cut(known.groupBy("site").agg(F.count(F.lit(1)).alias("_visited")), "crawl-counts")
     # pages meet the parents as one slim row each, links spread afterwards; edges meet them row by row, so no page's links are gathered
-    listed = "links" in edges.columns
-    pages = edges if listed else cut(edges.select("site", "src", "dst", "pos"), "crawl-links")
+    links = LinkStore(edges) if follow_links and depth > 0 else None
     first = start.select("site", "url", F.col("ord").alias("parent_seq"), F.lit(0).alias("pos"))
     first = first_visit(first)
     if known is not None:
@@ -102,15 +100,12 @@ def crawl(
         if limit is not None:
             parents = parents.filter(F.col("_visited") < limit)
         parents = parents.select("site", F.col("url").alias("src"), F.col("seq").alias("parent_seq"))
-        reached = parents.join(pages, ["site", "src"])
-        if listed:
-            met = reached.select("site", "parent_seq", F.explode_outer("links").alias("link"))
-            reached = met.filter(F.col("link").isNotNull()).select("site", "parent_seq", "link.url", "link.pos")
-        else:
-            reached = reached.select("site", "parent_seq", F.col("dst").alias("url"), "pos")
+        reached = links.of(parents)
         visited = [taken.select("site", "url") for taken in (levels if known is None else [known, *levels])]
         rows, before = _level(minus(first_visit(reached), reduce(DataFrame.unionByName, visited)), level, before, limit)
         if rows.isEmpty():
             break
         levels.append(rows)
+    if links is not None:
+        links.close()
     return reduce(DataFrame.unionByName, levels).drop("_visited")

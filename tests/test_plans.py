@@ -56,3 +56,41 @@ def test_first_visits_are_hash_aggregates(spark):
     frame = spark.range(100).selectExpr("'s' AS site", "string(id) AS url", "id AS parent_seq", "0 AS pos")
     plan = plan_of(first_visit(frame))
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_a_level_moves_no_links(spark):
+    """Parents are shuffled to the buckets of the links, which stay where they are; also when a hot page is dealt over several."""
+    from pageledger.operators.link_store import LinkStore
+
+    rows = [("s", f"p{0 if i < 300 else i % 7}", f"q{i}", i) for i in range(400)]
+    edges = spark.createDataFrame(rows, "site string, src string, dst string, pos bigint")
+    parents = spark.createDataFrame([("s", f"p{i}", i + 1) for i in range(5)], "site string, src string, parent_seq bigint")
+    expected = sorted((r.dst, r.pos, int(r.src[1:]) + 1) for r in edges.collect() if int(r.src[1:]) < 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hot, salted in ((1000, False), (50, True)):
+            store = LinkStore(edges, hot)
+            reached = store.of(parents)
+            plan = plan_of(reached)
+            links = plan[plan.rindex("SortMergeJoin" if not salted else "Generate") :]
+            scan = next(line for line in plan.splitlines() if "FileScan" in line and store.table in line)
+            assert "Bucketed: true" in scan and f"out of {store.buckets}" in plan
+            after = plan[: plan.index(scan)].splitlines()[-2:]
+            assert not any("Exchange" in line for line in after), links
+            assert (store.hot is not None) == salted
+            if salted:
+                assert store.rows.select("src", "salt").distinct().filter("src = 'p0'").count() == 7
+            assert sorted((r.url, r.pos, r.parent_seq) for r in reached.collect()) == expected
+            store.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_visits_tell_any_places_apart(spark):
+    from pageledger.operators.frontier import first_visit
+
+    largest = (1 << 63) - 1
+    rows = [("s", "a", 5, largest), ("s", "a", 6, 0), ("s", "b", largest, 7), ("s", "b", largest, 3), ("s", "c", 0, largest), ("s", "c", 1, 0)]
+    frame = spark.createDataFrame(rows, "site string, url string, parent_seq bigint, pos bigint")
+    found = {r.url: (r.parent_seq, r.pos) for r in first_visit(frame).collect()}
+    assert found == {"a": (5, largest), "b": (largest, 3), "c": (0, largest)}
