@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,30 +12,18 @@ from pyspark.sql import functions as F
 
 from pageledger import schemas
 from pageledger.operators.keywords import clean_keywords, detect_columns, metric
+from pageledger.session import cut
+from pageledger.sources.records import quoted_records
 
 
 #: Columns that are added to a file's own, whose names cannot be foreseen.
 _FILE, _ROW = "__keyword_file", "__keyword_row"
+_FORMAT = {"escape": '"', "multiLine": "true"}
 
 
-def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header.  Only the first line of each file comes to the driver, one per file; no file becomes one value."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    lines = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
-    lines = lines.select("file", F.regexp_replace("line", r"\A\x{FEFF}", "").alias("line"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.orderBy("file").collect():
-        header = tuple(next(csv.reader([row["line"].rstrip("\r")]), ()))
-        groups.setdefault(header, []).append(row["file"])
-    return groups
-
-
-def _metrics(rows: DataFrame) -> DataFrame | None:
-    """Metric rows of files that share a header; None when no column holds keywords."""
-    headers = [name for name in rows.columns if name not in (_FILE, _ROW)]
-    keyword, clicks, impressions = detect_columns(headers)
+def _metrics(rows: DataFrame, headers: list[str], columns: list[str]) -> DataFrame | None:
+    """Metric rows of files that share ``headers``, whose cells are in ``columns``; None when no column holds keywords."""
+    keyword, clicks, impressions = (None if name is None else columns[headers.index(name)] for name in detect_columns(headers))
     if keyword is None:
         return None
 
@@ -53,24 +42,43 @@ def _metrics(rows: DataFrame) -> DataFrame | None:
     )
 
 
+def _delimited(spark: SparkSession, paths: list[str]) -> list[DataFrame | None]:
+    """Rows of delimited files, by header.  One header a file comes to the driver; its cells may hold line breaks."""
+    records = cut(quoted_records(spark, paths), "keyword-records")
+    first = records.groupBy("file").agg(F.min("row_pos").alias("row_pos"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in records.join(first, ["file", "row_pos"]).orderBy("file").collect():
+        header = tuple(next(csv.reader(io.StringIO(row["record"], newline="")), ()))
+        groups.setdefault(header, []).append(row["file"])
+    body = records.join(first.withColumnRenamed("row_pos", "_header"), "file").filter(F.col("row_pos") > F.col("_header"))
+    found = []
+    for header, files in groups.items():
+        columns = [f"c{at}" for at in range(len(header))]
+        cells = F.from_csv("record", ", ".join(f"{name} string" for name in columns), _FORMAT).alias("cells")
+        rows = body.filter(F.col("file").isin(*files)).select(F.col("file").alias(_FILE), F.col("row_pos").alias(_ROW), cells)
+        found.append(_metrics(rows.select(_FILE, _ROW, "cells.*"), list(header), columns))
+    return found
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Add the file and a number that grows with the row's place in its file."""
     return rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.monotonically_increasing_id().alias(_ROW))
 
 
-def read_keyword_files(spark: SparkSession, paths: list[str], source_format: str = "csv", multi_line: bool = True) -> DataFrame:
+def read_keyword_files(spark: SparkSession, paths: list[str], source_format: str = "csv") -> DataFrame:
     """All keyword rows of the files, whatever their headers; files without a keyword column are skipped.
 
-    Quoted cells may hold line breaks; a CSV file is then read by one task.  ``multi_line=False`` splits large files without such cells.
+    Quoted cells may hold line breaks, and a large file is still read by many tasks.
     """
     if not paths:
         return spark.createDataFrame([], schemas.KEYWORD_METRICS)
     if source_format == "csv":
-        groups = _header_groups(spark, paths).values()
-        tables = [_placed(spark.read.csv(files, header=True, escape='"', multiLine=multi_line)) for files in groups]
+        tables = _delimited(spark, paths)
     else:
-        tables = [_placed(spark.read.format(source_format).load(path)) for path in paths]
-    found = [rows for rows in map(_metrics, tables) if rows is not None]
+        loaded = [_placed(spark.read.format(source_format).load(path)) for path in paths]
+        names = [[name for name in rows.columns if name not in (_FILE, _ROW)] for rows in loaded]
+        tables = [_metrics(rows, own, own) for rows, own in zip(loaded, names)]
+    found = [rows for rows in tables if rows is not None]
     if not found:
         return spark.createDataFrame([], schemas.KEYWORD_METRICS)
     return reduce(DataFrame.unionByName, found)
