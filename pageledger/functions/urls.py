@@ -3,8 +3,7 @@
 ``parse_url`` and friends of Spark keep the case of hosts and reject addresses a browser accepts, so the split is
 done here.  A parsed URL is ``struct<scheme,userinfo,host,port,path,query>``; NULL stands for an invalid one.
 
-Known limits: host names beyond ASCII are lower-cased, not turned into punycode; IPv4 shorthand such as ``127.1``
-and IPv6 compression are not rewritten; ``file:`` is treated like any scheme without a host.
+Hosts are in the one form of ``functions/hosts.py``.  Known limit: ``file:`` is treated like any scheme without a host.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
+from pageledger.functions.hosts import canonical_sql, usual_sql
 from pageledger.functions.sqltext import apply, bind, fold, lower_sql, only, quote
 
 PARSED_TYPE = "struct<scheme:string,userinfo:string,host:string,port:string,path:string,query:string>"
@@ -133,7 +133,7 @@ def _resolve_sql() -> str:
 
     # decode and lower-case the host, drop the default port, encode path and query
     decoded = fold({"contains(s.host, '%')": "try_url_decode(replace(s.host, '+', '%2B'))"}, "s.host")
-    host = fold({"s.kind = 'foreign'": "s.host"}, bind(decoded, "place", lower_sql("place")))
+    host = fold({"s.kind = 'foreign'": "s.host"}, bind(usual_sql(f"({decoded})"), "name", canonical_sql("name")))
     defaults = " OR ".join(f"(s.scheme = '{scheme}' AND digits = '{port}')" for scheme, port in _SPECIAL_PORTS.items())
     port = fold({"s.port = ''": "''", "digits = ''": "'0'", defaults: "''"}, "digits")
     rooted = "CASE WHEN startswith(s.path, '/') OR (s.kind = 'foreign' AND s.path = '') THEN s.path ELSE concat('/', s.path) END"
@@ -150,7 +150,7 @@ def _resolve_sql() -> str:
         'path', {path},
         'query', {_percent_encode('s.query', _QUERY_SAFE)})"""
 
-    host_ok = f"""s.place_ok AND s.host <> '' AND (s.port = '' OR length(s.port) <= 5 AND CAST(s.port AS INT) <= 65535)
+    host_ok = f"""s.place_ok AND coalesce(s.host, '') <> '' AND (s.port = '' OR length(s.port) <= 5 AND CAST(s.port AS INT) <= 65535)
         AND (startswith(s.host, '[') OR NOT s.host RLIKE {quote(_BAD_HOST)})"""
 
     def record(userinfo: str, host: str, port: str) -> str:

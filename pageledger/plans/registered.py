@@ -151,6 +151,26 @@ def url_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "form", urls.normalize_url(F.col("href"), F.col("url")).alias("resolved"))
 
 
+def host_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Other spellings of a host for each document: numbers as addresses, zero groups, letters beyond ASCII, and what is no host."""
+    number, low = F.col("doc_id") + 70_000, F.col("doc_id").cast("string")
+    digits = F.lower(F.hex(F.col("doc_id") % 65_536))
+    named = {
+        "hex": F.concat(F.lit("0x"), F.hex(number)),
+        "decimal": number.cast("string"),
+        "short": F.concat(F.lit("010.0x2."), F.pmod("doc_id", F.lit(65_536)).cast("string")),
+        "large": F.concat(F.lit("1.2.3.4."), low),
+        "zeros": F.concat(F.lit("[0:0::00"), F.substring(digits, 1, 2), F.lit("]")),
+        "groups": F.concat(F.lit("[2001:DB8:0:0:1:0:0:"), digits, F.lit("]")),
+        "wrong": F.concat(F.lit("[1::2::"), digits, F.lit("]")),
+        "letters": F.concat(F.lit("D"), low, F.lit(".B\u00dcCHER.Example")),
+        "wide": F.concat(F.lit("d"), low, F.lit("\u3002xn--bcher-KVA\uff0e\uff45xample")),
+    }
+    forms = F.array(*[F.struct(F.lit(form).alias("form"), F.concat(F.lit("http://"), host, F.lit(":80/x")).alias("url")) for form, host in named.items()])
+    hosts = inputs.table(spark, folder, "documents").select("doc_id", F.inline(forms))
+    return hosts.select("doc_id", "form", urls.hostname(F.col("url")).alias("host"))
+
+
 # --- sitemaps and robots ------------------------------------------------------------------------
 
 
@@ -721,6 +741,7 @@ QUERIES: dict[str, Query] = {
     "url_parts": url_parts,
     "site_keys": site_keys,
     "url_resolution": url_resolution,
+    "host_forms": host_forms,
     "robots_sitemaps": robots_sitemaps,
     "sitemap_documents": sitemap_documents,
     "sitemap_kinds": sitemap_kinds,
