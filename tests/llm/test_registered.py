@@ -23,7 +23,7 @@ def test_oracle(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op12_spelling_variants"}))  # that one has a row for each word
 def test_a_row_per_document(spark, name):
     documents = connect(FOLDER).execute("SELECT count(*) FROM documents").fetchone()[0]
     found = QUERIES[name](spark, FOLDER)
