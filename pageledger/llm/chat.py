@@ -11,12 +11,12 @@ is undone by plain replacement.  The loss mask is a list of code point spans, on
 
 Defined cases: null text or role is empty; null turns sort first; repeated rows are turns of their own; a null ``conv_id`` is
 a conversation like any other; an empty table gives no rows; other columns are passed over.  A conversation is one
-output value, so its turns meet in one task, where window and sort can spill.
+output value, so its turns meet in one task, as one array of about the size of that value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, MIDDLE, PART, TURN = "### ", ": ", "</part>", "</turn>\n"
@@ -47,30 +47,55 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("at"),
-        (~F.lag("role").over(order).eqNullSafe(F.col("role"))).alias("opens"),
-        (~F.lead("role").over(order).eqNullSafe(F.col("role"))).alias("closes"),
-    )
-    head = F.when(F.col("opens"), F.concat(F.lit(HEAD), _role(F.col("role")), F.lit(MIDDLE))).otherwise(F.lit(PART))
-    rows = rows.select("conv_id", "at", "role", "opens", head.alias("head"), escape(F.col("text")).alias("body"), F.when(F.col("closes"), TURN).otherwise("").alias("tail"))
-    size = (F.length("head") + F.length("body") + F.length("tail")).cast("bigint")
-    before = F.coalesce(F.sum(size).over(Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", before + F.length("head"))
-    collected = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "opens", "head", "body", "tail", "start"))).alias("turns"))
-    return collected.select(
+    # Collected structs sort by turn, role and text; everything after this one exchange works on the array.
+    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    pieces = sorted_turns.select("conv_id", F.transform("turns", _piece).alias("pieces"))
+    placed = pieces.select("conv_id", "pieces", _placed(loss_role).alias("placed"))
+    return placed.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], t["tail"])), "").alias("formatted"),
-        F.transform(
-            F.filter("turns", lambda t: t["role"] == loss_role),
-            lambda t: F.struct(t["start"].alias("from"), F.length(t["body"]).cast("bigint").alias("length")),
-        ).alias("loss_spans"),
-        F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + t["opens"].cast("bigint")).alias("n_blocks"),
+        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
+        F.flatten("placed.spans").alias("loss_spans"),
+        F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, p: n + p["opens"].cast("bigint")).alias("n_blocks"),
     )
 
 
+def _piece(turn: Column, at: Column) -> Column:
+    """A turn's part of its block: a role that differs from a neighbour's opens or closes the block, else the texts are merged."""
+    opens = (at == 0) | (F.get(F.col("turns"), at - 1)["role"] != turn["role"])
+    closes = (at == F.size("turns") - 1) | (F.get(F.col("turns"), at + 1)["role"] != turn["role"])
+    head = F.when(opens, F.concat(F.lit(HEAD), _role(turn["role"]), F.lit(MIDDLE))).otherwise(F.lit(PART))
+    tail = F.when(closes, F.lit(TURN)).otherwise(F.lit(""))
+    return F.struct(turn["role"].alias("role"), opens.alias("opens"), head.alias("head"), escape(turn["text"]).alias("body"), tail.alias("tail"))
+
+
+def _placed(loss_role: str) -> Column:
+    """The loss spans, ``struct<at, spans array<array<struct<from, length>>>>``.
+
+    An aggregate copies the array that it appends to, so the pieces are folded in stretches of the root of their number, each from its
+    own start, and the stretches are folded after that.
+    """
+    span = "array<struct<from:bigint,length:bigint>>"
+    width = F.ceil(F.sqrt(F.size("pieces"))).cast("int")
+    stretches = F.transform(F.sequence(F.lit(1), F.size("pieces"), width), lambda start: F.slice("pieces", start, width))
+
+    def add(state: Column, piece: Column) -> Column:
+        start = state["at"] + F.length(piece["head"])
+        length = F.length(piece["body"]).cast("bigint")
+        found = F.array(F.struct(start.alias("from"), length.alias("length")))
+        spans = F.when(piece["role"] == loss_role, F.concat(state["spans"], found)).otherwise(state["spans"])
+        return F.struct((start + length + F.length(piece["tail"])).alias("at"), spans.alias("spans"))
+
+    def append(state: Column, stretch: Column) -> Column:
+        moved = F.transform(stretch["spans"], lambda s: F.struct((s["from"] + state["at"]).alias("from"), s["length"].alias("length")))
+        return F.struct((state["at"] + stretch["at"]).alias("at"), F.concat(state["spans"], F.array(moved)).alias("spans"))
+
+    def empty(kind: str) -> Column:
+        return F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
+
+    folded = F.transform(stretches, lambda stretch: F.aggregate(stretch, empty(span), add))
+    return F.aggregate(folded, empty(f"array<{span}>"), append)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation, ``array<struct<role, text>>``."""
     blocks = F.filter(F.split(formatted, TURN, -1), lambda b: F.startswith(b, F.lit(HEAD)))

@@ -41,3 +41,29 @@ def test_long_conversation_and_empty_table(spark):
     expected = "".join(f"turn {t}" for t in range(1, 5000, 2))
     assert hashlib.sha256(found["loss"].encode()).hexdigest() == hashlib.sha256(expected.encode()).hexdigest()
     assert read(spark, []) == {}
+
+
+def test_spans_are_those_of_plain_python(spark):
+    for n in (1, 2, 3, 10, 130):
+        rows = [(1, t, ["user", "assistant", "assistant", "tool"][(t * t) % 4], NASTY[t % len(NASTY)]) for t in range(n)]
+        text, spans, blocks, last = "", [], 0, None
+        for _, _, role, body in rows:
+            body = body or ""
+            for plain, marked in chat.CONTROL:
+                body = body.replace(plain, marked)
+            if role == last:
+                text = text.removesuffix(chat.TURN) + chat.PART
+            else:
+                text, blocks = text + f"{chat.HEAD}{role}{chat.MIDDLE}", blocks + 1
+            if role == "assistant":
+                spans.append((len(text), len(body)))
+            text, last = text + body + chat.TURN, role
+        found = read(spark, rows)[1]
+        assert (found["formatted"], found["n_blocks"]) == (text, blocks)
+        assert [tuple(s) for s in found["loss_spans"]] == spans
+
+
+def test_plan_has_one_exchange_and_neither_windows_nor_python(spark):
+    plan = chat.format_conversations(frame(spark, [(1, 0, "user", "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Window" not in plan and "Python" not in plan and "Arrow" not in plan
