@@ -200,4 +200,4 @@ def held_out(doc_id: str = "doc_id"):
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     score = fit(docs.filter(~held_out()), labels)
-    return score(docs, *docs.columns).filter("predicted = 0").select("row.*")
+    return score(docs, "*").filter("predicted = 0").select("row.*")
