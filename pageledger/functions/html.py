@@ -7,7 +7,8 @@ an unclosed comment, script or tag -- it swallows the rest of the page -- is don
 A quote opens a value only right after an equals sign; elsewhere it belongs to a name or an unquoted value, and the next
 ``>`` ends the tag.
 
-Known limit against a full DOM: markup inside ``template`` or ``svg`` is read like any other.
+The content of a ``template`` is no part of a page, however deep templates are nested; :func:`without_templates` takes it out before
+anything is read.  A title inside ``svg`` is found like any other, as a selector by name finds it.
 """
 
 from __future__ import annotations
@@ -54,6 +55,15 @@ _FIRST_H1 = (
 )
 _IS_TITLE = r"(?i)\Atitle[\s/>]"
 
+_REGION = r"(?:template|svg|math)"
+# a stretch without a tag that opens or closes a region, or one such tag; one that is not closed swallows the rest
+_STRETCH = (
+    rf"(?is)(?:[^<]++|<(?!/?{_REGION}[\s/>])(?:"
+    + "|".join([_COMMENT, _SCRIPT, _STYLE, _TEXTAREA, _TITLE, _IFRAME, _ANY_TAG, _UNCLOSED_TAG])
+    + rf"|))++|<{_REGION}(?:[\s/]" + _TAG_REST + rf"|>)|</{_REGION}[^>]*+>?|<.*+"
+)
+_HAS_TEMPLATE = r"<[tT][eE][mM][pP][lL][aA][tT][eE][\s/>]"
+
 # the tags the page record needs
 RECORD_TAGS = ("a", "h1", "link", "meta")
 
@@ -65,9 +75,64 @@ def _token_pattern(tags: Sequence[str] | None) -> str:
     return "(?is)<(?:" + "|".join([*skipped, f"({_TITLE}|{wanted})", _ANY_TAG, _MARKUP, _UNCLOSED_TAG]) + ")"
 
 
+def _step(piece: Column) -> Column:
+    """What a stretch does to the depth: opens or closes a template or an element of another language, or nothing."""
+    return (
+        F.when(~piece.rlike(rf"(?i)\A</?{_REGION}[\s/>]"), "none")
+        .when(piece.rlike(r"(?i)\A<template"), "open")
+        .when(piece.rlike(r"(?i)\A</template"), "close")
+        .when(F.startswith(piece, F.lit("</")), "leave")
+        .when(F.endswith(piece, F.lit("/>")), "none")
+        .otherwise("enter")
+    )
+
+
+def without_templates(html: Column) -> Column:
+    """The page less the content of its templates, whose outermost tags stay.
+
+    One pass cuts the page at the tags that matter and folds a depth over the pieces.  Inside ``svg`` and ``math`` a ``template`` is an
+    element like others; a template's end also ends what is open inside of it; a template that is not closed reaches to the end of the
+    page.  A fold copies the array that it appends to, so pieces are folded in stretches of the root of their number.  Pages without a
+    template are passed through.
+    """
+
+    def walk(state: Column, piece: Column) -> Column:
+        step, depth, foreign = piece["step"], state["depth"], state["foreign"]
+        opens = (step == "open") & (foreign == 0)
+        closes = (step == "close") & (depth > 0)
+        deeper = depth + opens.cast("int") - closes.cast("int")
+        stays = (depth == 0) | (deeper == 0)
+        inside = (
+            F.when(closes | opens, 0)
+            .when(step == "enter", foreign + 1)
+            .when(step == "leave", F.greatest(foreign - 1, F.lit(0)))
+            .otherwise(foreign)
+        )
+        kept = F.when(stays, F.concat(state["kept"], F.array(piece["text"]))).otherwise(state["kept"])
+        return F.struct(deeper.alias("depth"), inside.alias("foreign"), kept.alias("kept"))
+
+    def state(depth: Column, foreign: Column, kind: str) -> Column:
+        return F.struct(depth.alias("depth"), foreign.alias("foreign"), F.array().cast(kind).alias("kept"))
+
+    def folded(pieces: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(pieces), width)
+
+        def along(before: Column, start: Column) -> Column:
+            part = F.aggregate(F.slice(pieces, start, width), state(before["depth"], before["foreign"], "array<string>"), walk)
+            return F.aggregate(
+                F.array(part), before, lambda _, p: F.struct(p["depth"].alias("depth"), p["foreign"].alias("foreign"), F.concat(before["kept"], F.array(F.array_join(p["kept"], ""))).alias("kept"))
+            )
+
+        return F.aggregate(starts, state(F.lit(0), F.lit(0), "array<string>"), along, lambda end: F.array_join(end["kept"], ""))
+
+    pieces = F.transform(F.regexp_extract_all(html, F.lit(_STRETCH), F.lit(0)), lambda piece: F.struct(piece.alias("text"), _step(piece).alias("step")))
+    return F.when(html.rlike(_HAS_TEMPLATE), let(pieces, folded)).otherwise(html)
+
+
 def raw_tokens(html: Column, tags: Sequence[str] | None = None) -> Column:
     """Source text of the wanted start tags and of titles, in page order."""
-    found = F.regexp_extract_all(html, F.lit(_token_pattern(tags)), F.lit(1))
+    found = F.regexp_extract_all(without_templates(html), F.lit(_token_pattern(tags)), F.lit(1))
     return F.filter(found, lambda token: token != "")
 
 
@@ -128,7 +193,7 @@ def _strip_markup(text: Column) -> Column:
 
 def h1_text(html: Column) -> Column:
     """Text of the first heading, nested tags removed."""
-    inner = F.regexp_extract(html, _FIRST_H1, 1)
+    inner = F.regexp_extract(without_templates(html), _FIRST_H1, 1)
     return F.coalesce(js_trim(decode_entities(_strip_markup(inner))), F.lit(""))
 
 
@@ -196,4 +261,4 @@ def visible_text(html: Column) -> Column:
         )
         return js_trim(js_collapse(decode_entities(_strip_markup(content))))
 
-    return F.coalesce(let(F.regexp_replace(html, removed, ""), text), F.lit(""))
+    return F.coalesce(let(F.regexp_replace(without_templates(html), removed, ""), text), F.lit(""))

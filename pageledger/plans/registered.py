@@ -611,6 +611,24 @@ def untidy_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def template_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Product pages with nested, closed and unclosed templates, a template in a script and a drawing with a title of its own."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    hidden = F.concat(F.lit("<template id='</template>'><title>no</title><h1>no "), name, F.lit("</h1><template><a href=/no>n</a></template><meta name=robots content=no></template>"))
+    body = F.concat(
+        hidden, F.lit("<script>'<template>'</script><title>"), name, F.lit("</title><meta name=robots content='"), "p_type", F.lit("'><body>"), hidden,
+        F.lit("<svg><title>icon</title><template></svg><h1>"), "p_brand", F.lit("</h1><a href='/part/"), key, F.lit("'>x</a>"),
+        F.when(F.col("p_size") > 25, F.concat(F.lit("<TEMPLATE>"), hidden, F.lit("<a href=/never>y</a><h1>z"))).otherwise(F.lit("</template><a href=/last>y</a>")),
+    )
+    pages = inputs.table(spark, folder, "part").select(
+        "p_partkey", F.lit("parts.example.com").alias("site"), F.concat(F.lit("https://parts.example.com/p/"), key).alias("url"), body.alias("html"), body.alias("kept")
+    )
+    content = extract_content(pages)
+    return content.select(
+        "p_partkey", "title", "robots", "h1_text", "h1_count", F.array_join("links", " ").alias("links"), html.visible_text(F.col("kept")).alias("visible_text")
+    )
+
+
 def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Every page three times: as it is, later with a title in front, and latest of all but failed."""
     pages = inputs.site_pages(spark, folder).select("site", "url", "html")
@@ -721,6 +739,7 @@ def source_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "untidy_pages": untidy_pages,
+    "template_pages": template_pages,
     "repeated_snapshots": repeated_snapshots,
     "increment_summary": increment_summary,
     "audited_from_robots": audited_from_robots,

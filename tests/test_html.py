@@ -1,3 +1,4 @@
+import hashlib
 import time
 
 from pyspark.sql import functions as F
@@ -167,3 +168,45 @@ def test_a_heading_inside_a_frame_does_not_count(spark):
     frame = spark.createDataFrame([("<iframe src=x><h1>no</h1></iframe><h1>yes</h1>",)], "html string")
     row = frame.select(html.h1_text(F.col("html")).alias("h1"), html.h1_count(html.raw_tokens(F.col("html"), html.RECORD_TAGS)).alias("n")).head()
     assert (row.h1, row.n) == ("yes", 1)
+
+
+def test_templates_hold_no_page_content(values):
+    pages = {
+        "a<template>b</template>c": "a<template></template>c",
+        "a<template><template>b</template>c</template>d": "a<template></template>d",
+        "a<TEMPLATE id='</template>'>b</Template >c": "a<TEMPLATE id='</template>'></Template >c",
+        "a<template/>b</template>c": "a<template/></template>c",
+        "a<template>b<template>c</template>d": "a<template>",
+        "a</template>b<template>c": "a</template>b<template>",
+        "<!--<template>-->a<template>b<!--</template>-->c</template>d": "<!--<template>-->a<template></template>d",
+        "<script><template></script>a<textarea><template></textarea>b<template>": "<script><template></script>a<textarea><template></textarea>b<template>",
+        "<svg><template>a</template></svg>b<template>c</template>": "<svg><template>a</template></svg>b<template></template>",
+        "<template><svg><template></svg></template>a": "<template></template>a",
+        "<template><svg></template>a<template>b</template>c": "<template></template>a<template></template>c",
+        "<svg/><template>a</template>b": "<svg/><template></template>b",
+        "<math><svg></math></svg><template>a</template>b": "<math><svg></math></svg><template></template>b",
+        "a<b <template>c": "a<b <template>c",
+        "<templates>a</templates><template>b": "<templates>a</templates><template>",
+        "a<template>b<template": "a<template>",
+        "": "",
+    }
+    assert dict(zip(pages, values(html.without_templates, list(pages)))) == pages
+
+
+def test_fields_pass_templates_over(spark):
+    page = (
+        "<template><title>no</title><h1>no</h1><a href='/no'>n</a></template><title>yes</title><svg><title>icon</title></svg>"
+        "<meta name='robots' content='x'><body><template><h1>no</h1><template><meta name='robots' content='no'></template></template>"
+        "<h1>real</h1><a href='/ok'>t</a><template>rest <h1>no</h1><a href='/no'>"
+    )
+    found = record(spark, page)
+    assert (found["title"], found["h1_text"], found["h1_count"], found["robots"]) == ("yes", "real", 1, "x")
+    assert len(found["links"]) == 1 and found["links"][0].endswith("/ok")
+
+
+def test_many_templates_take_linear_time(values):
+    many = "<p>" * 700_000 + "<template><b></template>x" * 100_000 + "<template>" * 100_000 + "y" + "</template>" * 100_000
+    started = time.monotonic()
+    kept = values(lambda page: F.md5(html.without_templates(page)), [many])[0]
+    assert time.monotonic() - started < 40
+    assert kept == hashlib.md5(("<p>" * 700_000 + "<template></template>x" * 100_000 + "<template></template>").encode()).hexdigest()
