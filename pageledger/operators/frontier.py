@@ -109,3 +109,24 @@ def crawl(
     if links is not None:
         links.close()
     return reduce(DataFrame.unionByName, levels).drop("_visited")
+
+
+def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``site, url, depth`` of all pages within ``depth`` links of ``start (site, url)``, by one recursive query.
+
+    A second way to the depths of :func:`crawl`, without visit order, page limit or state.  The walk keeps every path, as a recursive query
+    cannot drop what it has met before, so the depth bound is what ends it, and Spark refuses a walk of more rows than
+    ``spark.sql.cteRecursionRowLimit``.  For more than a few levels, or hubs, :func:`crawl` is the way.
+    """
+    return start.sparkSession.sql(
+        """
+        WITH RECURSIVE walk(site, url, depth) AS (
+          SELECT DISTINCT site, url, 0 FROM {start}
+          UNION ALL
+          SELECT e.site, e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.site = w.site AND e.src = w.url WHERE w.depth < {bound})
+        SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url
+        """,
+        start=start.select("site", "url"),
+        edges=edges.select("site", "src", "dst"),
+        bound=int(depth),
+    )

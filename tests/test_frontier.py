@@ -148,3 +148,15 @@ def test_audit_modes(spark):
     ]
     forced = site_audit(pages, bases, listing, AuditOptions(limit=1, force=True), state=first).filter("site = 'x.org'").collect()
     assert [row.seq for row in forced] == [1]
+
+
+def test_reach_gives_the_depths_of_a_crawl(spark):
+    edges = [("s", "a", "b"), ("s", "b", "a"), ("s", "a", "c"), ("s", "c", "d"), ("s", "b", "c"), ("s", "d", "e"), ("s", "a", "a"), ("t", "a", "x"), ("t", None, "y")]
+    links = spark.createDataFrame([(*edge, at) for at, edge in enumerate(edges)], "site string, src string, dst string, pos int")
+    start = spark.createDataFrame([("s", "a"), ("s", "a"), ("t", "a")], "site string, url string")
+    for depth in (0, 1, 2, 3):
+        visits = frontier.crawl(frontier.seeds(None, start.distinct()), links, depth=depth, limit=None)
+        expected = {(row.site, row.url, row.depth) for row in visits.collect()}
+        found = [tuple(row) for row in frontier.reach(start, links, depth).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+    assert frontier.reach(start.limit(0), links, 2).collect() == []
