@@ -116,11 +116,18 @@ def _row(name: Column, values: Column, error: Column) -> Column:
     return F.struct(name.cast("string").alias("property"), values.cast("array<string>").alias("values"), error.cast("string").alias("error"))
 
 
+def _with_namespace(records: DataFrame, target: Target) -> DataFrame:
+    """``records`` with ``_namespace``, worked out once a page: their own ``tag_namespace`` (``namespace_rules``), or the target's rules."""
+    if "tag_namespace" in records.columns:
+        return records.withColumn("_namespace", F.coalesce("tag_namespace", F.lit(target.tag_namespace).cast("string")))
+    return records.withColumn("_namespace", tag_namespace(F.col("url"), target))
+
+
 def _without_tag_id(target: Target) -> Column:
-    """True for a page whose wanted tags cannot be written, as its namespace has no id."""
+    """True for a page whose wanted tags cannot be written, as its ``_namespace`` has no id."""
     if "keywords" not in wanted_fields(target) or target.properties["keywords"] != fixed.TAG_PROPERTY:
         return F.lit(False)
-    return _given("suggested_keywords") & namespace_id(tag_namespace(F.col("url"), target)).isNull()
+    return _given("suggested_keywords") & namespace_id(F.col("_namespace")).isNull()
 
 
 def property_rows(records: DataFrame, target: Target) -> DataFrame:
@@ -142,7 +149,7 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
         given = given & ~_without_tag_id(target)
         entries.append((prop + fixed.TYPE_HINT_SUFFIX, given, F.array(F.lit(fixed.TYPE_HINT))))
         if prop == fixed.TAG_PROPERTY:
-            entries.append((prop, given, multi_value(tags, tag_namespace(F.col("url"), target))))
+            entries.append((prop, given, multi_value(tags, F.col("_namespace"))))
         else:
             entries.append((prop, given, keyword_property(tags)))
     path = target_path(F.col("url"), target.site_path_prefix)
@@ -162,7 +169,8 @@ def property_rows(records: DataFrame, target: Target) -> DataFrame:
     properties = F.filter(F.array(*rows), lambda row: row.isNotNull()).cast(kind)
     failed = F.array(_row(F.lit(None), F.array(), F.col("_error")))
     return (
-        records.withColumn("_path", path)
+        _with_namespace(records, target)
+        .withColumn("_path", path)
         .withColumn("_error", error)
         .withColumn("_rows", F.when(F.col("_error").isNotNull(), failed.cast(kind)).otherwise(properties))
         .select("site", "url", "_path", F.inline_outer("_rows"))
@@ -193,7 +201,7 @@ def replicate_rows(records: DataFrame, target: Target) -> DataFrame:
     path = target_path(F.col("url"), target.site_path_prefix)
     active = bool(target.replicate_after_update and target.author_url)
     return (
-        filter_in_place(records, F.lit(active) & has_changes(target) & ~_without_tag_id(target))
+        filter_in_place(_with_namespace(records, target), F.lit(active) & has_changes(target) & ~_without_tag_id(target))
         .withColumn("path", path)
         .filter(F.col("path").isNotNull())
         .select(
@@ -225,10 +233,10 @@ def wanted_tags(records: DataFrame, target: Target) -> DataFrame:
     """Every tag the pages ask for: ``(namespace, node, label, url, pos)``, and ``seq`` where the records have it."""
     place = [name for name in ("seq", "url") if name in records.columns]
     uses_tags = "keywords" in wanted_fields(target) and target.properties["keywords"] == fixed.TAG_PROPERTY
-    asking = filter_in_place(records, F.lit(uses_tags) & _given("suggested_keywords"))
+    asking = filter_in_place(_with_namespace(records, target), F.lit(uses_tags) & _given("suggested_keywords"))
     exploded = asking.select(
         *place,
-        tag_namespace(F.col("url"), target).alias("namespace"),
+        F.col("_namespace").alias("namespace"),
         F.posexplode_outer(split_tags(F.col("suggested_keywords"))).alias("pos", "label"),
     )
     return exploded.filter(F.col("namespace").isNotNull() & F.col("label").isNotNull()).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
 from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, state_log, suggest
+from pageledger.operators.namespace_rules import with_tag_namespace
 from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot, page_links
 from pageledger.operators.summary import audit_percentages, audit_summary
 from pageledger.plans import inputs
@@ -287,6 +288,11 @@ def graph_bfs(spark: SparkSession, folder: str) -> DataFrame:
     return _shop_crawl(spark, folder, None)
 
 
+def graph_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """The depths of the first two levels of the shop graph, by a recursive query."""
+    return frontier.reach(inputs.shop_bases(spark, folder), inputs.shop_edges(spark, folder), depth=2)
+
+
 def graph_bfs_limit(spark: SparkSession, folder: str) -> DataFrame:
     return _shop_crawl(spark, folder, 100)
 
@@ -494,6 +500,16 @@ def target_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ruled_namespaces(spark: SparkSession, folder: str) -> DataFrame:
+    """Namespaces by a table of rules: paths of pages with a fragment, then hosts of later pages, then two letters of a path."""
+    pages = inputs.table(spark, folder, "pages").select("page_id", "url")
+    paths = pages.filter(F.contains("url", F.lit("#"))).select(F.col("page_id").cast("bigint").alias("ord"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("pattern"))
+    hosts = pages.filter(F.contains("url", F.lit("?page"))).select((F.col("page_id") + (1 << 40)).alias("ord"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("pattern"))
+    short = spark.range(1).select(F.lit(1 << 41).alias("ord"), F.lit("/e").alias("pattern"))
+    rules = paths.unionByName(hosts).unionByName(short).withColumn("ns", F.concat(F.lit("/content/cq:tags/"), F.col("ord").cast("string")))
+    return with_tag_namespace(pages, rules, "/content/cq:tags/site")
+
+
 def tags_to_create(spark: SparkSession, folder: str) -> DataFrame:
     """Tags the pages want less those that exist: the link targets of the pages are tags of the first namespace."""
     target = target_from_config(_CONFIG)
@@ -774,6 +790,7 @@ QUERIES: dict[str, Query] = {
     "crawl_no_links": crawl_no_links,
     "graph_bfs": graph_bfs,
     "graph_bfs_limit": graph_bfs_limit,
+    "graph_reach": graph_reach,
     "graph_resume": graph_resume,
     "site_audit_records": site_audit_records,
     "audit_summary": audit_summary_query,
@@ -797,6 +814,7 @@ QUERIES: dict[str, Query] = {
     "attached_suggestions": attached_suggestions,
     "target_paths": target_paths,
     "target_tags": target_tags,
+    "ruled_namespaces": ruled_namespaces,
     "tags_to_create": tags_to_create,
     "change_set": change_set,
     "change_set_defaults": change_set_defaults,
