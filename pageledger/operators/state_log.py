@@ -55,25 +55,25 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names(spark: SparkSession, path: str) -> list[str]:
     folder, system = _folder(spark, path)
     return sorted(status.getPath().getName() for status in system.listStatus(folder)) if system.exists(folder) else []
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
     """Numbers of all segments, whole or not."""
-    return sorted(int(name.removeprefix("segment=")) for name in _names(spark, path) if name.startswith("segment="))
+    return sorted(int(name.removeprefix("segment=")) for name in names(spark, path) if name.startswith("segment="))
 
 
 def segments(spark: SparkSession, path: str) -> list[Segment]:
     """The whole segments in order.  Folder names only are listed, at most one for each bucket of a segment."""
     found = []
     for number in _numbers(spark, path):
-        for kind in _names(spark, f"{path}/segment={number}"):
+        for kind in names(spark, f"{path}/segment={number}"):
             below = f"{path}/segment={number}/{kind}"
-            names = _names(spark, below) if kind.startswith("replaces=") else []
-            if "_SUCCESS" in names:
-                buckets = tuple(int(name.removeprefix("site_bucket=")) for name in names if name.startswith("site_bucket="))
+            inside = names(spark, below) if kind.startswith("replaces=") else []
+            if "_SUCCESS" in inside:
+                buckets = tuple(int(name.removeprefix("site_bucket=")) for name in inside if name.startswith("site_bucket="))
                 found.append(Segment(number, kind == "replaces=true", below, buckets))
     return found
 
@@ -85,10 +85,10 @@ def append(records: DataFrame, path: str, replaces: bool = False) -> int:
     partition of a very large site and merge those of small ones.  ``replaces`` ends the earlier records of the sites.
     """
     number = max(_numbers(records.sparkSession, path), default=0) + 1
-    stored = records if "crawl_date" in records.columns else records.withColumn("crawl_date", F.current_timestamp())
-    names = set(stored.columns)
-    columns = [(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CRAWL_STATE]
-    _write(stored.select(*columns, F.lit(number).cast("bigint").alias("version")), path, number, replaces)
+    dated = records if "crawl_date" in records.columns else records.withColumn("crawl_date", F.current_timestamp())
+    given = set(dated.columns)
+    columns = [(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CRAWL_STATE]
+    _write(dated.select(*columns, F.lit(number).cast("bigint").alias("version")), path, number, replaces)
     return number
 
 
@@ -98,13 +98,13 @@ def _write(rows: DataFrame, path: str, number: int, replaces: bool) -> None:
     bucketed.hint("rebalance", "site_bucket").write.mode("errorifexists").partitionBy("site_bucket").parquet(below)
 
 
-def _stored(spark: SparkSession, path: str, whole: list[Segment], buckets: Collection[int]) -> DataFrame:
+def stored(spark: SparkSession, path: str, whole: list[Segment], buckets: Collection[int]) -> DataFrame:
     """The rows of the buckets; the folders of others are not even listed."""
     wanted = [f"{s.path}/site_bucket={bucket}" for s in whole for bucket in s.buckets if bucket in buckets]
     return spark.read.schema(_STORED).option("basePath", path).parquet(*wanted)
 
 
-def _latest(rows: DataFrame, whole: list[Segment]) -> DataFrame:
+def latest(rows: DataFrame, whole: list[Segment]) -> DataFrame:
     """Of the rows of each address the one that counts; also keeps the helper columns."""
     if any(s.replaces for s in whole):
         ends = rows.filter("replaces").groupBy(F.col("site").alias("_site")).agg(F.max("version").alias("_from"))
@@ -123,8 +123,8 @@ def read(spark: SparkSession, path: str, buckets: list[int] | None = None) -> Da
     whole = [s for s in segments(spark, path) if s.buckets and (buckets is None or set(s.buckets) & set(buckets))]
     if not whole:
         return spark.createDataFrame([], schemas.CRAWL_STATE)
-    rows = _stored(spark, path, whole, range(STATE_BUCKETS) if buckets is None else set(buckets))
-    return _latest(rows, whole).select(*schemas.CRAWL_STATE.names)
+    rows = stored(spark, path, whole, range(STATE_BUCKETS) if buckets is None else set(buckets))
+    return latest(rows, whole).select(*schemas.CRAWL_STATE.names)
 
 
 def compact(spark: SparkSession, path: str, many: int = MANY_SEGMENTS) -> list[int]:
@@ -138,8 +138,8 @@ def compact(spark: SparkSession, path: str, many: int = MANY_SEGMENTS) -> list[i
     if not full:
         return []
     number = max(_numbers(spark, path)) + 1
-    rows = _stored(spark, path, whole, set(full))
-    _write(_latest(rows, whole).select(*schemas.CRAWL_STATE.names, "version"), path, number, False)
+    rows = stored(spark, path, whole, set(full))
+    _write(latest(rows, whole).select(*schemas.CRAWL_STATE.names, "version"), path, number, False)
     for s in whole:
         for bucket in set(s.buckets) & set(full):
             folder, system = _folder(spark, f"{s.path}/site_bucket={bucket}")

@@ -36,6 +36,14 @@ def _conditions() -> dict[str, Column]:
     }
 
 
+#: The counts of a summary.
+COUNTS = (
+    "total_pages", "pages_with_title", "pages_with_description", "pages_with_keywords", "pages_with_h1", "pages_with_canonical",
+    "pages_with_og_tags", "pages_with_twitter_tags", "pages_with_title_issues", "pages_with_description_issues", "pages_with_h1_issues",
+    "pages_with_errors", "pages_in_sitemap", "pages_not_in_sitemap",
+)
+
+
 def audit_summary(records: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """One row per site.  Counts combine map-side, so one big site costs no more than many small ones."""
     counts = [F.count_if(condition).alias(name) for name, condition in _conditions().items()]

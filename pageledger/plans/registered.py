@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageledger import fixed_values as fixed
 from pageledger.functions import html, scores, text, urls
-from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, state_log, suggest
+from pageledger.operators import changeset, frontier, keywords, report, sitemap, state, state_log, suggest, summary_log
 from pageledger.operators.namespace_rules import with_tag_namespace
 from pageledger.operators.pages import extract_content, fetch, link_edges, one_snapshot, page_links
 from pageledger.operators.summary import audit_percentages, audit_summary
@@ -680,6 +680,18 @@ def increment_summary(spark: SparkSession, folder: str) -> DataFrame:
     return counts.join(numbered, "site")
 
 
+def kept_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts kept by differences over a stream, a rewriting of full buckets and a forced run over the pages with a fragment."""
+    run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    records, counts = f"{run}/records", f"{run}/counts"
+    audit_stream(spark, f"{folder}/page[s].parquet", records, f"{run}/checkpoint", files=1, summary=counts).awaitTermination()
+    state_log.compact(spark, records, many=1)
+    again = inputs.site_pages(spark, folder).filter(F.contains("url", F.lit("#"))).withColumn("html", F.lit("<title>later</title>"))
+    write_state(state.audit_increment(again, read_state(spark, records), force=True), records)
+    summary_log.update(spark, records, counts)
+    return summary_log.read(spark, counts).select("site", "total_pages", "pages_with_title", "pages_with_title_issues", "pages_with_h1", "pages_not_in_sitemap")
+
+
 def audited_from_robots(spark: SparkSession, folder: str) -> DataFrame:
     """Robots files name sitemaps, these list the pages, and the audit visits them in their order."""
     pages = inputs.site_pages(spark, folder)
@@ -758,6 +770,7 @@ QUERIES: dict[str, Query] = {
     "template_pages": template_pages,
     "repeated_snapshots": repeated_snapshots,
     "increment_summary": increment_summary,
+    "kept_summary": kept_summary,
     "audited_from_robots": audited_from_robots,
     "audit_with_suggestions": audit_with_suggestions,
     "keyword_export_files": keyword_export_files,
