@@ -26,6 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageledger.llm.common import Scratch
 
@@ -117,8 +118,8 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], stems: dict[str, flo
                 columns = [some.column(name) for name in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.list_(pa.float64()))], [*names, "features"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(of, schema + ", features array<double>")
+    kept = [field for field in docs.schema if field.name != "text"]
+    return docs.mapInArrow(of, T.StructType([*kept, T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def _lexicon(sample: DataFrame) -> tuple[frozenset[str], dict[str, float]]:

@@ -54,6 +54,13 @@ def test_without_labels_the_lexicon_decides(spark):
     assert toxicity.fit(none, marks)(none, "doc_id").count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "quiet words", "x", 2.0), (2, None, None, None)], "doc_id bigint, text string, `a.b` string, score double")
+    kept = toxicity.reject_toxic(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(row) for row in kept.collect()) == [(1, "quiet words", "x", 2.0), (2, None, None, None)]
+
+
 def test_features():
     make = lambda text: dict(zip(toxicity.NAMES, toxicity.features(text, frozenset(toxicity.INSULTS), {"zorg": 3.0})))
     assert set(make("").values()) == {0.0}
