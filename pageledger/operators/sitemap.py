@@ -42,6 +42,11 @@ def sitemap_kind(body: Column) -> Column:
     return F.regexp_extract(text.js_trim(body), _ROOT, 1)
 
 
+def parse_document(body: Column) -> Column:
+    """A sitemap document as its entries; ``_corrupt_record`` is set where it is malformed."""
+    return F.from_xml(text.js_trim(body), _DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
+
+
 def _entries(docs: DataFrame, kind: str, field: str) -> DataFrame:
     """Entries of one field of the documents of one kind: ``pos`` and ``entry``; malformed XML has none.
 
@@ -50,8 +55,7 @@ def _entries(docs: DataFrame, kind: str, field: str) -> DataFrame:
     """
     keep = [name for name in docs.columns if name != "body"]
     wanted = docs.filter(looks_like_xml(F.col("body")) & (sitemap_kind(F.col("body")) == kind))
-    options = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
-    parsed = wanted.select(*keep, F.from_xml(text.js_trim(F.col("body")), _DOCUMENT, options).alias("_doc"))
+    parsed = wanted.select(*keep, parse_document(F.col("body")).alias("_doc"))
     sound = F.when(F.col("_doc._corrupt_record").isNull(), F.col(f"_doc.{field}"))
     named = F.filter(sound, lambda entry: F.coalesce(entry["loc"], F.lit("")) != "")
     exploded = parsed.select(*keep, F.posexplode_outer(named).alias("pos", "entry"))

@@ -19,6 +19,7 @@ from pageledger.plans.audit import AuditOptions, base_urls, site_audit, sitemap_
 from pageledger.session import checkpoint_dir, cut, filter_in_place
 from pageledger.sinks.tables import write_changes, write_json, write_state
 from pageledger.sources.keyword_files import read_keyword_files
+from pageledger.sources.sitemap_files import read_urlset_files
 from pageledger.sources.tables import (
     read_pages,
     read_responses,
@@ -211,6 +212,16 @@ def _xml_documents(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.table(spark, folder, "pages").select(site.alias("site"), F.inline(docs))
 
 
+#: Pages are dealt to documents of at most 5,000 entries, as sitemaps are in practice.
+_DOCUMENT_NUMBER = "page_id DIV 5000 AS doc"
+
+
+def _in_documents(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries of each document as one text, by page."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_id", "entry")))
+    return entries.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), "").alias("entries"))
+
+
 def sitemap_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = _xml_documents(spark, folder)
     roots = inputs.table(spark, folder, "pages").select(
@@ -225,6 +236,22 @@ def sitemap_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.groupBy("doc_url", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def urlset_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Sitemap files of bounded size, in which pages without https are commented out; files that break off give nothing."""
+    path = f"{checkpoint_dir(spark)}/urlsets-{uuid.uuid4().hex}"
+    lastmod = F.when(F.contains("url", F.lit("#")), "<lastmod>2024-05-01</lastmod>").otherwise("")
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), lastmod, F.lit("</url>\n"))
+    shown = F.when(F.startswith("url", F.lit("https://")), entry).otherwise(F.concat(F.lit("<!-- "), entry, F.lit(" -->")))
+    pages = inputs.table(spark, folder, "pages")
+    docs = _in_documents(pages.select(F.expr(_DOCUMENT_NUMBER), "page_id", shown.alias("entry")), ["doc"])
+    head = F.concat(F.lit('<?xml version="1.0"?>\n<urlset>'), "entries")
+    whole = docs.select("doc", F.lit("whole").alias("form"), F.concat(head, F.lit("</urlset>")).alias("body"))
+    whole.unionByName(docs.select("doc", F.lit("cut").alias("form"), head.alias("body"))).write.partitionBy("form", "doc").text(path)
+    found = read_urlset_files(spark, [path])
+    doc = F.regexp_extract("file", r"/doc=([0-9]+)/", 1).cast("bigint")
+    return found.select(doc.alias("doc"), F.regexp_extract("file", "/form=([a-z]+)/", 1).alias("form"), "pos", "url", "lastmod")
+
+
 def sitemap_membership(spark: SparkSession, folder: str) -> DataFrame:
     pages = inputs.site_pages(spark, folder)
     records = pages.select("page_id", "site", "url", F.lit(None).cast("string").alias("error"))
@@ -693,16 +720,20 @@ def kept_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audited_from_robots(spark: SparkSession, folder: str) -> DataFrame:
-    """Robots files name sitemaps, these list the pages, and the audit visits them in their order."""
+    """Robots files name indexes, these name sitemaps, which list the pages, and the audit visits them in their order."""
     pages = inputs.site_pages(spark, folder)
     entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))), lambda e: e["entry"]), "")
-    docs = pages.groupBy("site").agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), body, F.lit("</urlset>")).alias("body"))
-    address = F.concat(F.lit("https://"), "site", F.lit("/map.xml"))
-    docs = docs.select("site", address.alias("doc_url"), "body")
-    robots = docs.select("site", F.concat(F.lit("User-agent: *\nSitemap: "), "doc_url", F.lit("\n")).alias("body"))
+    parts = _in_documents(pages.select("site", F.expr(_DOCUMENT_NUMBER), "page_id", entry.alias("entry")), ["site", "doc"])
+    address = F.concat(F.lit("https://"), "site", F.lit("/map"))
+    listed = F.concat(address, F.lit("-"), F.col("doc").cast("string"), F.lit(".xml"))
+    sets = parts.select("site", listed.alias("doc_url"), F.concat(F.lit('<?xml version="1.0"?><urlset>'), "entries", F.lit("</urlset>")).alias("body"))
+    child = F.concat(F.lit("<sitemap><loc>"), listed, F.lit("</loc></sitemap>"))
+    indexes = _in_documents(parts.select("site", F.col("doc").alias("page_id"), child.alias("entry")), ["site"])
+    body = F.concat(F.lit('<?xml version="1.0"?><sitemapindex>'), "entries", F.lit("</sitemapindex>"))
+    root = indexes.select("site", F.concat(address, F.lit(".xml")).alias("doc_url"), body.alias("body"))
+    robots = root.select("site", F.concat(F.lit("User-agent: *\nSitemap: "), "doc_url", F.lit("\n")).alias("body"))
     bases = inputs.base_pages(pages)
-    listing = sitemap_listing(bases.select("site", F.col("url").alias("base_url"), F.lit("").alias("sitemap")), robots, docs)
+    listing = sitemap_listing(bases.select("site", F.col("url").alias("base_url"), F.lit("").alias("sitemap")), robots, sets.unionByName(root))
     records = site_audit(pages, bases, listing, AuditOptions(depth=0, limit=None))
     return records.select("site", "seq", "url", "in_sitemap")
 
@@ -746,7 +777,9 @@ def source_tables(spark: SparkSession, folder: str) -> DataFrame:
     for name, rows in stored.items():
         rows.write.parquet(f"{path}/{name}")
     inputs.document_responses(spark, folder).write.json(f"{path}/responses")
-    robots.select("body").repartition(1).write.text(f"{path}/texts")
+    addresses = pages.select(F.expr(_DOCUMENT_NUMBER), "page_id", F.col("url").alias("entry"))
+    lines = addresses.withColumn("entry", F.concat("entry", F.lit("\n")))
+    _in_documents(lines, ["doc"]).write.partitionBy("doc").text(f"{path}/texts")
     read = {
         "pages": (read_pages(spark, f"{path}/pages"), "html"),
         "docs": (read_sitemap_docs(spark, f"{path}/docs"), "doc_url"),
@@ -793,6 +826,7 @@ QUERIES: dict[str, Query] = {
     "robots_sitemaps": robots_sitemaps,
     "sitemap_documents": sitemap_documents,
     "sitemap_kinds": sitemap_kinds,
+    "urlset_files": urlset_files,
     "sitemap_membership": sitemap_membership,
     "sitemap_attrs": sitemap_attrs,
     "crawl_levels": crawl_levels,
