@@ -29,8 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 class Scratch:
     """One run's folder below the shared checkpoint folder.
 
-    Tables written to it are read back with exact sizes and no lineage, so a lost executor costs a task.  ``drop`` and
-    ``close`` remove only what this run wrote.
+    Tables written to it are read back with exact sizes and no lineage, so a lost executor costs a task.  ``drop`` removes
+    only what this run wrote.
     """
 
     def __init__(self, spark: SparkSession, name: str):

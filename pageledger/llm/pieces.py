@@ -8,7 +8,8 @@ worst score and is written as its UTF-8 bytes.  A worker
 remembers a bounded number of words over its batches.
 
 The scores are those stored in the vocabulary file.  For a vocabulary made by merging they rank the merges, and the segmentation
-with the greatest sum is returned, which need not be the order of merges; decoding gives back the text in either case.
+with the greatest sum is returned, which need not be the order of merges; decoding gives back the text in either case, but for a
+literal ``▁`` in it, which comes back as a space.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded alike; null ids are kept; words longer than
 ``LONG_WORD`` characters are encoded by the same recursion but not kept in the trie; an empty table gives no rows; columns other
