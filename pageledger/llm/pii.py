@@ -9,9 +9,13 @@ as a word in a document that names the entity.  A term needs ``support`` windows
 more, so names of two letters and terms with digits are not among them, and nothing next to an entity with a single window is.
 
 Windows and contexts are counted once, so copies of a text or passage change neither side of a share.  A context is a word with
-the words on either side of it.  ``N`` counts the distinct contexts that a hash of theirs picks, one in as many as a window has words:
-as many as there are windows, but for chance.  A term has at least its contexts among these, so one whose share
-is too small by them is left out, as all frequent words are; the contexts of the others are then counted in full.
+the words on either side of it.  For ``N`` every text is cut into stretches of as many words as a window has, the last one shorter; each
+word of the corpus is in one, and all distinct ones are counted.  So a passage that many texts share counts as often as the ways
+in which it is cut differ, which are no more than a window has words.
+
+A context of the word in the middle of a stretch holds the whole stretch, so a term has at least as many contexts as distinct stretches
+around it.  One whose share is too small by these alone is left out, as all frequent words are; the contexts of the others are then
+counted in full.
 
 Only documents with a base span can hold such terms; they are written to the shared folder, all others are never moved.  Counts
 combine map-side, and contexts are dealt by term and hash, so no value or word is gathered in one task.
@@ -193,10 +197,11 @@ def _windows(text: Column, spans: Column) -> Column:
     return let(chunks(text), of, _WINDOWS)
 
 
-def contexts(docs: DataFrame, one_in: int = 1) -> DataFrame:
+def contexts(docs: DataFrame, stretch: int = 1) -> DataFrame:
     """``term, context`` of every use of a term; ``context`` is a hash of the words around it and itself.
 
-    With ``one_in`` only contexts are taken for which it divides a hash of five of their words, so equal ones are taken or left together.
+    With ``stretch``, of at most ``2 * WINDOW_WORDS``, texts are cut into stretches of so many words and each is a row: ``context`` is a hash
+    of all its words, ``term`` the word in its middle whatever its length, null in a last one that ends before.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), NOT_WORD, -1), lambda word: word != "")
     hashed = docs.select(words.alias("words")).select("words", F.transform("words", lambda word: F.xxhash64(word)).alias("hashes"))
@@ -204,13 +209,16 @@ def contexts(docs: DataFrame, one_in: int = 1) -> DataFrame:
     def use(word: Column, at: Column) -> Column:
         before = F.least(at, F.lit(WINDOW_WORDS))
         around = F.slice("hashes", at - before + 1, before + 1 + WINDOW_WORDS)
-        taken = F.length(word) >= TERM_LENGTH
-        if one_in > 1:
-            few = [F.get("hashes", at + by) for by in (-WINDOW_WORDS, -1, 0, 1, WINDOW_WORDS)]
-            taken = taken & (F.pmod(F.xxhash64(*few), F.lit(one_in)) == 0)
-        return F.when(taken, F.struct(word.alias("term"), F.xxhash64(before, around).alias("context")))
+        return F.when(F.length(word) >= TERM_LENGTH, F.struct(word.alias("term"), F.xxhash64(before, around).alias("context")))
+
+    def whole(first: Column) -> Column:
+        return F.struct(F.get("words", first + stretch // 2).alias("term"), F.xxhash64(F.slice("hashes", first + 1, stretch)).alias("context"))
 
-    uses = hashed.select(F.explode_outer(F.filter(F.transform("words", use), lambda one: one.isNotNull())).alias("use"))
+    if stretch > 1:
+        found = F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(stretch)), whole))
+    else:
+        found = F.filter(F.transform("words", use), lambda one: one.isNotNull())
+    uses = hashed.select(F.explode_outer(found).alias("use"))
     return uses.filter(F.col("use").isNotNull()).select("use.term", "use.context")
 
 
@@ -222,16 +230,16 @@ def disclosing_terms(named: DataFrame, docs: DataFrame, generalise: float = GENE
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     scratch = Scratch(docs.sparkSession, "pii-terms")
     pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
-    sampled = contexts(docs, 2 * WINDOW_WORDS).distinct()
-    sampled = scratch.keep(sampled.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "sampled")
-    windows_all = max(2.0, float(sampled.agg(F.sum("n_t")).first()[0] or 0))
+    stretches = contexts(docs, 2 * WINDOW_WORDS).distinct()
+    at_least = scratch.keep(stretches.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "at-least")
+    windows_all = max(2.0, float(at_least.agg(F.sum("n_t")).first()[0] or 0))
 
     def told(counts: DataFrame, how: str) -> DataFrame:
         known = F.greatest(F.log(F.lit(windows_all) / F.col("n_e")), F.lit(1e-9))
         given = F.log(F.col("n_et") * F.lit(windows_all) / (F.col("n_e") * F.greatest("n_t", "n_et")))
         return pairs.join(counts, "term", how).withColumn("share", given / known).filter(F.col("share") >= generalise)
 
-    likely = scratch.keep(told(sampled, "left").select("term").distinct(), "likely")
+    likely = scratch.keep(told(at_least, "left").select("term").distinct(), "likely")
     counts = contexts(docs).join(likely, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return told(scratch.keep(counts, "counts"), "inner").select("entity", "term", "share")
 

@@ -135,6 +135,51 @@ def test_shares_against_brute_force(spark):
     assert all(abs(found[key] - expected[key]) < 1e-9 for key in found)
 
 
+def shares(texts, generalise):
+    """``entity, term`` to share, all counted by plain Python: ``N`` is the number of distinct stretches of 16 words."""
+    word = r"[^\W\d_]+"
+    stretches, windows, uses = set(), set(), set()
+    for text in {t or "" for t in texts}:
+        words = re.findall(word, text.lower())
+        stretches |= {tuple(words[i : i + 16]) for i in range(0, len(words), 16)}
+        uses |= {(w, *words[max(0, i - 8) : i], "|", *words[i : i + 9]) for i, w in enumerate(words) if len(w) >= 3}
+        for kind, start, end in brute(text):
+            value = text[start:end]
+            left, right = re.findall(word, text[max(0, start - 160) : start].lower()), re.findall(word, text[end : end + 160].lower())
+            left, right = left[1:] if start > 160 else left, right[:-1] if len(text) > end + 160 else right
+            windows.add((f"{kind}:{value.lower() if kind == 'email' else re.sub('[^0-9]', '', value)}", *left[-8:], "|", *right[:8]))
+    found, total = {}, max(2, len(stretches))
+    for entity in {w[0] for w in windows}:
+        mine = [w for w in windows if w[0] == entity]
+        for term in {t for w in mine for t in w[1:] if len(t) >= 3}:
+            n_e, n_et, n_t = len(mine), sum(term in w[1:] for w in mine), sum(u[0] == term for u in uses)
+            share = math.log(n_et * total / (n_e * max(n_t, n_et))) / max(math.log(total / n_e), 1e-9)
+            if n_et >= 2 and share >= generalise:
+                found[entity, term] = share
+    return total, found
+
+
+def test_the_whole_corpus_is_counted(spark):
+    """Lines by a template, of which all or no contexts have a given hash, and texts of any length beside them."""
+    rng = random.Random(3)
+    common = [a + b + "o" for a in "bcdfghjk" for b in "aeiou"]
+    say = lambda n: " ".join(rng.choices(common, k=n))
+    unique = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    texts = [f"at noon the clerk of {unique(i)} has put his mark under a long deed of sale" for i in range(400)]
+    texts += [say(n) for n in range(70)] * 2 + [None, "", "x", f"{say(15)} a", f"{say(16)}", f"{say(17)}"]
+    for n, name in enumerate(["zebulon", "melchior", "quixote", "ishmael", "barnaby"]):
+        texts += [f"{say(9)} {name} mails {name}@x.org {say(12)}" for _ in range(4)] + [f"{say(9)} {name} {say(9)}" for _ in range(5 * n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    named = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", pii.base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    total, _ = shares(texts, 0)
+    assert pii.contexts(docs, 16).distinct().count() == total
+    for generalise in (0.3, 0.7):
+        _, expected = shares(texts, generalise)
+        found = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing_terms(named, docs, generalise).collect()}
+        assert found.keys() == expected.keys() and ("email:zebulon@x.org", "zebulon") in found
+        assert all(abs(found[key] - expected[key]) < 1e-9 for key in found)
+
+
 def test_many_spans_of_one_text(spark):
     """A list of 50,000 addresses and numbers with words between them; every third address is named twice and has a name of its own."""
     letters = "abcdefghij"
