@@ -8,8 +8,8 @@ A term whose share reaches ``generalise`` is replaced by a label, one whose shar
 as a word in a document that names the entity.  A term needs ``support`` windows.  Terms are words of letters only, of ``TERM_LENGTH`` or
 more, so names of two letters and terms with digits are not among them, and nothing next to an entity with a single window is.
 
-Windows and contexts are counted once, so copies of a text or passage change neither side of a share.  A context is a word with
-the words on either side of it.  For ``N`` every text is cut into stretches of as many words as a window has, the last one shorter; each
+Windows and contexts are counted once, so copies of a text change neither side of a share, and those of a passage little but ``N``.  A
+context is a word with the words on either side of it.  For ``N`` every text is cut into stretches of as many words as a window has, the last one shorter; each
 word of the corpus is in one, and all distinct ones are counted.  So a passage that many texts share counts as often as the ways
 in which it is cut differ, which are no more than a window has words.
 

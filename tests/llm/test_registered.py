@@ -1,7 +1,9 @@
 """The registered queries against DuckDB, and the pipeline against plain Python."""
 
+import math
 import os
 import random
+import re
 from collections import defaultdict
 
 import public_tokenizers
@@ -92,3 +94,23 @@ def test_pipeline(spark, tmp_path):
         total[r["doc_id"]] += r["length"]
     assert total == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in final.items()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "pii_sanitisation", "best_fit_packing"]
+
+
+def test_the_privacy_stage_counts_the_whole_corpus(spark):
+    """A name is hidden as the whole corpus makes it rare; by one context in 16 of these lines, most by one template, it would stay."""
+    rng = random.Random(5)
+    common = [a + b + "o" for a in "bcdfghjk" for b in "aeiou"]
+    say = lambda n: " ".join(rng.choices(common, k=n))
+    unique = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    texts = [f"at noon the clerk of {unique(i)} has put his mark under a long deed of sale" for i in range(400)]
+    texts += [f"{say(9)} Zebulon {say(9)}" for _ in range(11)]
+    texts += [f"{say(9)} Zebulon mails jo@x.org {say(9)}" for _ in range(4)]
+    stretches = {tuple(words[i : i + 16]) for words in (re.findall("[a-z]+", t.lower()) for t in texts) for i in range(0, len(words), 16)}
+    share = 1 - math.log(15 / 4) / math.log(len(stretches) / 4)
+    assert 0.7 <= share < 0.9
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    found = {r["doc_id"]: r for r in corpus_pipeline.without_personal_data(spark, docs, "").collect()}
+    assert len(found) == len(texts) and all(found[i]["text"] == texts[i] for i in range(411))
+    for i in range(411, 415):
+        assert re.search(r"\[TERM\] .*\[EMAIL\]", found[i]["text"]), found[i]["text"]
+        assert "Zebulon" not in found[i]["text"] and found[i]["n_chars"] == len(found[i]["text"])
