@@ -16,6 +16,8 @@ root is the last of the forms that follow one another, found by pointer doubling
 
 Words are counted in the tasks that read the texts and combined before the shuffle, so a word that every text holds moves as a few sums.
 From then on all tables are of distinct words.  The number of near words of a word is bounded by its length times the letters.
+All joins sort and merge, as Spark sizes these tables by their compressed files and does not see that a word has twenty signatures: it
+would send rows of far more than its broadcast threshold through the driver.
 
 Defined cases: null and empty texts have no words; a null id is written as nothing where characters are taken out; repeated rows
 count as often as they occur; ties between forms go to the smaller word; an empty table gives no rows; columns other than ``doc_id`` and
@@ -158,7 +160,7 @@ def _signed(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, other, other_n``: each pair of near words once."""
     signed = _signed(words)
-    a, b = signed.alias("a"), signed.alias("b")
+    a, b = signed.alias("a"), signed.alias("b").hint("merge")
     roles = ((F.col("a.role") == 0) & (F.col("b.role") == 0) & (F.col("a.word") < F.col("b.word"))) | ((F.col("a.role") == 1) & (F.col("b.role") == 2))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & roles & (F.levenshtein("a.word", "b.word", 1) == 1))
     return met.select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
@@ -170,7 +172,7 @@ def _roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
         turn += 1
-        moved = scratch.keep(links.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"links-{turn}")
+        moved = scratch.keep(links.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"links-{turn}")
         if moved.filter("moved").isEmpty():
             return moved.select("word", "root")
         links = moved.select("word", "root")
@@ -187,7 +189,7 @@ def variants(counts: DataFrame, least_uses: int = LEAST_USES, ratio: int = RATIO
         both = pairs.select("word", F.col("other").alias("near"), F.col("other_n").alias("near_n"))
         both = both.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
         best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-        found = words.join(best, "word", "left")
+        found = words.join(best.hint("merge"), "word", "left")
         formed = -F.col("best.less") >= F.lit(ratio) * F.col("n")
         found = found.select(
             "word", "n",
@@ -197,7 +199,7 @@ def variants(counts: DataFrame, least_uses: int = LEAST_USES, ratio: int = RATIO
         )
         found = scratch.keep(found, "forms")
         roots = _roots(found.filter(F.col("form").isNotNull()), scratch)
-    return found.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variant_groups(docs: DataFrame, drop_every: int | None = None) -> DataFrame:

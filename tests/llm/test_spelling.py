@@ -108,3 +108,21 @@ def test_plan_joins_by_equality(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert pairs.collect()[0][:] == ("abcdefg", 2, "abcdefh", 30)
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Tables of words are small as compressed files, also where the rows made of them would fill the driver."""
+    plans = {}
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    kept = spelling.Scratch.keep
+    monkeypatch.setattr(spelling.Scratch, "keep", lambda self, df, name: kept(self, planned(df, name), name))
+    words = spark.createDataFrame([("abcdefg", 2), ("abcdefh", 30), ("abcdeh", 300), ("abcdehh", 5)], "word string, n bigint")
+    rows = {row.word: row.root for row in planned(spelling.variants(words), "variants").collect()}
+    assert rows == {"abcdefg": "abcdeh", "abcdefh": "abcdeh", "abcdeh": "abcdeh", "abcdehh": "abcdeh"}
+    for name in ("pairs", "forms", "links-1", "variants"):
+        assert "SortMergeJoin" in plans[name], name
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
