@@ -88,7 +88,9 @@ def crawl(
         known = state.select("site", "url")
         before = cut(known.groupBy("site").agg(F.count(F.lit(1)).alias("_visited")), "crawl-counts")
     # pages meet the parents as one slim row each, links spread afterwards; edges meet them row by row, so no page's links are gathered
-    links = LinkStore(edges) if follow_links and depth > 0 else None
+    links = None
+    if follow_links and depth > 0:
+        links = LinkStore(edges if "links" in edges.columns else cut(edges.select("site", "src", "dst", "pos"), "crawl-links"))
     first = start.select("site", "url", F.col("ord").alias("parent_seq"), F.lit(0).alias("pos"))
     first = first_visit(first)
     if known is not None:

@@ -20,7 +20,10 @@ HOT_LINKS = 100_000
 
 
 class LinkStore:
-    """``edges (site, src, dst, pos)``, or pages with their links, ``(site, src, links array<struct<pos, url>>)``."""
+    """``edges (site, src, dst, pos)``, or pages with their links, ``(site, src, links array<struct<pos, url>>)``.
+
+    Edges are read more than once, so they should come from a written table.
+    """
 
     def __init__(self, edges: DataFrame, hot_links: int = HOT_LINKS):
         self.spark = edges.sparkSession
@@ -31,9 +34,8 @@ class LinkStore:
         if self.listed:
             rows, self.hot = edges.select("site", "src", "links"), None
         else:
-            edges = cut(edges.select("site", "src", "dst", "pos"), "crawl-edges")
+            rows = edges = edges.select("site", "src", "dst", "pos")
             self.hot = self._hot(edges, hot_links)
-            rows = edges
             if self.hot is not None:
                 salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst", "pos"), F.col("_salts"))).cast("int")
                 rows = edges.join(self.hot, ["site", "src"], "left").withColumn("salt", salt).drop("_salts")
